@@ -7,8 +7,9 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -66,6 +67,15 @@ def sweep(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once.
+
+    Catalyst may substitute a column's expression where it is read, so one that
+    a lambda reads would be evaluated anew for each element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Connected components: ``(node, root)``, root = smallest node reachable.
 
