@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontam, licenses, mixing, secrets, sharding, simhash, tokenbin
+from graphloom.llm import decontam, licenses, mixing, secrets, sharding, simhash, substrings, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -52,8 +56,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_sharding": op5_sharding,
         "op6_licenses": op6_licenses,
         "op9_mixing": op9_mixing,
+        "op10_substrings": op10_substrings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": decontam.SQL, "op6_licenses": licenses.SQL, "op9_mixing": mixing.SQL}
+    return {"op4_decontamination": decontam.SQL, "op6_licenses": licenses.SQL, "op9_mixing": mixing.SQL, "op10_substrings": substrings.SQL}
