@@ -253,3 +253,112 @@ def simhash_components(
     return docs.df.join(by_fp, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+#: Fingerprints of single words that near-duplicate search looks at.
+SEEDS = (42, 43, 44)
+
+
+def _centre(linked: DataFrame) -> DataFrame:
+    """``(root, centre)``: of each component's fingerprints the one nearest to their bitwise majority."""
+    bit = lambda i: F.shiftrightunsigned("fp", i).bitwiseAND(1)
+    sums = linked.groupBy("root").agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(BITS)])
+    most = sums.select("root", F.expr(" | ".join(f"shiftleft(if(b{i} * 2 > n, 1L, 0L), {i})" for i in range(BITS))).alias("most"))
+    off = F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("most"))), "fp")
+    return linked.join(most, "root").groupBy("root").agg(F.min(off)["fp"].alias("centre"))
+
+
+def near_duplicate_groups(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 3
+) -> DataFrame:
+    """``(doc_id, text_hash, group)``, one row for each distinct pair of id and text.
+
+    Two texts belong together if the Jaccard coefficient of their sets of
+    ``width``-word shingles is at least ``similarity``, and so do equal texts.
+    Candidates come from SimHash fingerprints of single words (less sensitive to
+    an edit than those of shingles), under several seeds: trie links between
+    fingerprints, texts that share one, and each text with the centre of its
+    component.  Every candidate is verified on the exact sets.  group is the
+    smallest text hash reachable over verified links.
+    """
+    spark = df.sparkSession
+    narrow = df.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
+    ).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    names = [f"fp{s}" for s in SEEDS]
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [[fingerprint(t, 1, s) for t in batch.column(2).to_pylist()] for s in SEEDS]
+            packed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in fps]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *packed], names=["doc_id", "text_hash", *names])
+
+    docs = Stored(narrow.mapInArrow(prints, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names)), "near").df
+    texts = Stored(docs.groupBy("text_hash").agg(*[F.first(n).alias(n) for n in names]), "near-texts").df
+    pairs = None
+    for name in names:
+        one = texts.select("text_hash", F.col(name).alias("fp"))
+        by_fp = Stored(one.groupBy("fp").agg(F.min("text_hash").alias("text")), "near-fp").df
+        found = Stored(links(by_fp.select("fp"), budget), "near-links").df
+        linked = components(found, "a", "b").withColumnRenamed("node", "fp")
+        stars = linked.join(_centre(linked), "root").select(F.col("fp").alias("a"), F.col("centre").alias("b"))
+        of = lambda c: by_fp.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}"))  # noqa: E731, B023
+        between = found.union(stars).join(of("a"), "a").join(of("b"), "b").select("text_a", "text_b")
+        within = one.join(by_fp, "fp").select(F.col("text_hash").alias("text_a"), F.col("text").alias("text_b"))
+        both = between.union(within).where("text_a != text_b")
+        pairs = both if pairs is None else pairs.union(both)
+    candidates = Stored(pairs.select(F.least("text_a", "text_b").alias("a"), F.greatest("text_a", "text_b").alias("b")).distinct(), "near-pairs").df
+    wanted = candidates.select(F.col("a").alias("text_hash")).union(candidates.select("b")).distinct()
+    n_wanted = wanted.count()
+    sets = narrow.select("text_hash", "text").join(F.broadcast(wanted) if n_wanted <= 1_000_000 else wanted, "text_hash", "left_semi")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(1).to_pylist():
+                own = {xxhash.xxh3_64_intdigest(s) for s in shingles_of(words_of(text), width)}
+                found.append(np.sort(np.fromiter(own, dtype=np.uint64, count=len(own))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["text_hash", "has"])
+
+    sets = Stored(sets.mapInArrow(hashed, "text_hash long, has binary").dropDuplicates(["text_hash"]), "near-sets").df
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right):
+            a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            either = len(a) + len(b) - shared
+            out.append(either == 0 or shared / either >= similarity - 1e-12)
+        return pd.Series(out, dtype=bool)
+
+    left = sets.select(F.col("text_hash").alias("a"), F.col("has").alias("has_a"))
+    right = sets.select(F.col("text_hash").alias("b"), F.col("has").alias("has_b"))
+    verified = Stored(candidates.join(left, "a").join(right, "b").where(alike("has_a", "has_b")).select("a", "b"), "near-verified")
+    sweep(spark)
+    roots = components(verified.df, "a", "b").withColumnRenamed("node", "text_hash")
+    return docs.select("doc_id", "text_hash").distinct().join(roots, "text_hash", "left").select(
+        "doc_id", "text_hash", F.coalesce("root", "text_hash").alias("group")
+    )
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """One row of each group of near duplicates, the one with the smallest id; all columns stay.
+
+    Null ids come after all others; among equal ids the smallest text hash stays,
+    and one of the rows that repeat both.  Null and empty texts are equal texts.
+    """
+    groups = near_duplicate_groups(df, id_col, text_col, **kw)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    kept = Stored(groups.groupBy("group").agg(F.min(place).alias("k")).select(F.col("k.doc_id").alias("__near_id"), F.col("k.text_hash").alias("__near_text")), "near-kept").df
+    mark = F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit("")).cast("binary"))
+    same = df[id_col].cast("long").eqNullSafe(kept["__near_id"]) & (mark == kept["__near_text"])
+    once = df.join(kept, same, "left_semi")
+    # rows that repeat id and text: few or none, found on narrow columns
+    keys = df.select(df[id_col].cast("long").alias("i"), mark.alias("t"))
+    again = Stored(keys.groupBy("i", "t").count().where("count > 1").select(F.col("i").alias("__again_id"), F.col("t").alias("__again_text")), "near-again").df
+    if again.isEmpty():
+        return once
+    repeats = df[id_col].cast("long").eqNullSafe(again["__again_id"]) & (mark == again["__again_text"])
+    single = once.join(again, repeats, "left_anti")
+    return single.union(once.join(again, repeats, "left_semi").dropDuplicates([id_col, text_col]))
