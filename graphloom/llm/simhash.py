@@ -19,7 +19,7 @@ copies never meet as pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,8 +51,12 @@ def shingles_of(words: list[bytes], width: int) -> list[bytes]:
 
 
 def fingerprint(text: bytes | None, width: int, seed: int = 42) -> int:
-    """Majority of the bits of the shingles' XXH64, as an unsigned integer."""
-    shingles = shingles_of(words_of(text), width)
+    """Fingerprint of the text's shingles, repeats included."""
+    return majority(shingles_of(words_of(text), width), seed)
+
+
+def majority(shingles: Collection[bytes], seed: int) -> int:
+    """Bits set in over half of the shingles' XXH64, as an unsigned integer; 0 without shingles."""
     if not shingles:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -255,30 +259,31 @@ def simhash_components(
     )
 
 
-#: Fingerprints of single words that near-duplicate search looks at.
-SEEDS = (42, 43, 44)
+#: Seeds of the fingerprints of distinct words that near-duplicate search looks at.
+SEEDS = (42, 43, 44, 45, 46)
 
 
 def _centre(linked: DataFrame) -> DataFrame:
-    """``(root, centre)``: of each component's fingerprints the one nearest to their bitwise majority."""
+    """``(root, centre)``: the member of each component nearest to the bitwise majority of its fingerprints."""
     bit = lambda i: F.shiftrightunsigned("fp", i).bitwiseAND(1)
     sums = linked.groupBy("root").agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(BITS)])
     most = sums.select("root", F.expr(" | ".join(f"shiftleft(if(b{i} * 2 > n, 1L, 0L), {i})" for i in range(BITS))).alias("most"))
-    off = F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("most"))), "fp")
-    return linked.join(most, "root").groupBy("root").agg(F.min(off)["fp"].alias("centre"))
+    off = F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("most"))), "node")
+    return linked.join(most, "root").groupBy("root").agg(F.min(off)["node"].alias("centre"))
 
 
 def near_duplicate_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 3
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 4
 ) -> DataFrame:
     """``(doc_id, text_hash, group)``, one row for each distinct pair of id and text.
 
     Two texts belong together if the Jaccard coefficient of their sets of
     ``width``-word shingles is at least ``similarity``, and so do equal texts.
-    Candidates come from SimHash fingerprints of single words (less sensitive to
-    an edit than those of shingles), under several seeds: trie links between
+    Candidates come from SimHash fingerprints of the distinct words (less
+    sensitive to an edit than those of shingles, and not ruled by the few most
+    frequent words of a long text), under several seeds: trie links between
     fingerprints, texts that share one, and each text with the centre of its
-    component.  Every candidate is verified on the exact sets.  group is the
+    component (over the candidates of all seeds).  Every candidate is verified on the exact sets.  group is the
     smallest text hash reachable over verified links.
     """
     spark = df.sparkSession
@@ -289,7 +294,8 @@ def near_duplicate_groups(
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [[fingerprint(t, 1, s) for t in batch.column(2).to_pylist()] for s in SEEDS]
+            words = [set(words_of(t)) for t in batch.column(2).to_pylist()]
+            fps = [[majority(w, s) for w in words] for s in SEEDS]
             packed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in fps]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *packed], names=["doc_id", "text_hash", *names])
 
@@ -299,14 +305,16 @@ def near_duplicate_groups(
     for name in names:
         one = texts.select("text_hash", F.col(name).alias("fp"))
         by_fp = Stored(one.groupBy("fp").agg(F.min("text_hash").alias("text")), "near-fp").df
-        found = Stored(links(by_fp.select("fp"), budget), "near-links").df
-        linked = components(found, "a", "b").withColumnRenamed("node", "fp")
-        stars = linked.join(_centre(linked), "root").select(F.col("fp").alias("a"), F.col("centre").alias("b"))
+        found = links(by_fp.select("fp"), budget)
         of = lambda c: by_fp.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}"))  # noqa: E731, B023
-        between = found.union(stars).join(of("a"), "a").join(of("b"), "b").select("text_a", "text_b")
+        between = found.join(of("a"), "a").join(of("b"), "b").select("text_a", "text_b")
         within = one.join(by_fp, "fp").select(F.col("text_hash").alias("text_a"), F.col("text").alias("text_b"))
         both = between.union(within).where("text_a != text_b")
         pairs = both if pairs is None else pairs.union(both)
+    linked = Stored(pairs, "near-links").df
+    member = components(linked, "text_a", "text_b").join(texts.select(F.col("text_hash").alias("node"), F.col(names[0]).alias("fp")), "node")
+    stars = member.join(_centre(member), "root").select(F.col("node").alias("text_a"), F.col("centre").alias("text_b"))
+    pairs = linked.union(stars.where("text_a != text_b"))
     candidates = Stored(pairs.select(F.least("text_a", "text_b").alias("a"), F.greatest("text_a", "text_b").alias("b")).distinct(), "near-pairs").df
     wanted = candidates.select(F.col("a").alias("text_hash")).union(candidates.select("b")).distinct()
     n_wanted = wanted.count()

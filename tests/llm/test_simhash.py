@@ -68,3 +68,40 @@ def test_query_matches_brute_force(spark, tmp_path):
 
 def test_empty_table(spark):
     assert S.simhash_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def near_rows():
+    rng = random.Random(12)
+    vocab = [f"{a}{b}" for a in ("er", "th", "an", "ou", "in", "re") for b in ("tion", "ly", "ed", "st", "ing", "ble", "x", "q")]
+    rows, group = [], {}
+    for g in range(25):
+        base = [rng.choice(vocab) + rng.choice(["", ",", "."]) for _ in range(rng.randrange(120, 400))]
+        for k in range(rng.randrange(1, 6)):
+            words = list(base)
+            for _ in range(len(words) // 100 * (k > 0)):
+                words[rng.randrange(len(words))] = "edit" + str(rng.randrange(9))
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(words)))
+    return rows, group
+
+
+def test_near_duplicates_are_found_and_clean_texts_stay(spark):
+    rows, group = near_rows()
+    sets = [set(S.shingles_of(S.words_of(t.encode()), 5)) for _, t in rows]
+    extra = [(900, rows[0][1], "x"), (900, rows[0][1], "x"), (901, None, "x"), (902, "", "x"), (903, "two words", "x"), (904, "words two", "x"), (None, rows[3][1], "x")]
+    df = spark.createDataFrame([(*r, "x") for r in rows] + extra, "doc_id long, text string, fp string")
+    found = {r.doc_id: r.group for r in S.near_duplicate_groups(df).collect()}
+    similar = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    assert len(similar) > 30 and sum(found[i] == found[j] for i, j in similar) >= 0.95 * len(similar)
+    # every group is held together by links of at least the similarity
+    for i, _ in rows:
+        mates = [j for j, _ in rows if j != i and found[i] == found[j]]
+        assert not mates or any((max(i, j), min(i, j)) in set(similar) for j in mates)
+    kept = S.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and {901, 903, 904} <= set(ids) and not {900, 902, None} & set(ids)
+    first = {}
+    for i, _ in rows:
+        first.setdefault(found[i], i)
+    assert set(ids) == set(first.values()) | {901, 903, 904}
