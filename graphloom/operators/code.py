@@ -144,13 +144,9 @@ def taint_flows(g: CodeGraph, sources: DataFrame, sinks: DataFrame, flows: DataF
     pair wins.
     """
     flows = data_flow(g) if flows is None else flows
-    df = g.dfg.select("file", "graph", F.col("id").alias("df"), "line", "shared_id", "code")
-    marked = g.ast.join(df.select("file", "shared_id", "graph", "df"), ["file", "shared_id"]).select("file", "id", "last_id", "graph", "df")
-    at = sinks.join(g.ast.select("file", "id", "last_id"), ["file", "id"]).alias("s").join(
-        marked.alias("m"), F.expr("s.file = m.file AND s.id >= m.id AND s.id <= m.last_id")
+    placed = sinks.select("file", "id", "vulnerability", "checkpoint").join(flow_node(g, sinks), ["file", "id"]).where("df IS NOT NULL").select(
+        F.struct("graph", F.col("df").alias("id")).alias("sink"), "vulnerability", "checkpoint", F.col("id").alias("seq")
     )
-    nearest = at.groupBy("s.file", "s.id", "s.vulnerability", "s.checkpoint").agg(F.max(F.struct("m.id", "m.graph", "m.df")).alias("n"))
-    placed = nearest.select(F.struct(F.col("n.graph").alias("graph"), F.col("n.df").alias("id")).alias("sink"), "vulnerability", "checkpoint", F.col("id").alias("seq"))
     edges = flows.select(F.struct("graph", F.col("src").alias("id")).alias("src"), F.struct(F.col("dst_graph").alias("graph"), F.col("dst").alias("id")).alias("dst"))
     starts = sources.select(F.struct("graph", "id").alias("id")).distinct()
     pairs = closure.reachable_pairs(edges, starts, placed.select(F.col("sink").alias("id")).distinct())
@@ -160,6 +156,46 @@ def taint_flows(g: CodeGraph, sources: DataFrame, sinks: DataFrame, flows: DataF
     )
 
 
+def flow_node(g: CodeGraph, nodes: DataFrame) -> DataFrame:
+    """``(file, id, graph, df)``: the data-flow node of each syntax node or of its nearest ancestor that has one; null if none has."""
+    df = g.dfg.select("file", "shared_id", "graph", F.col("id").alias("df"))
+    marked = g.ast.join(df, ["file", "shared_id"]).select("file", F.col("id").alias("at"), "last_id", "graph", "df")
+    own = nodes.select("file", "id").distinct()
+    near = own.alias("s").join(marked.alias("m"), F.expr("s.file = m.file AND s.id >= m.at AND s.id <= m.last_id"), "left")
+    best = near.groupBy("s.file", "s.id").agg(F.max(F.struct("m.at", "m.graph", "m.df")).alias("n"))
+    return best.select("file", "id", "n.graph", "n.df")
+
+
+def calls(g: CodeGraph, name: str | None = None) -> DataFrame:
+    """CALL nodes, by simple or dotted name if one is given: ``(file, id, line, name, dotted, args)``."""
+    found = _kind(g, "CALL").select("file", "id", "line", "name", F.coalesce("text", "name").alias("dotted"), "args")
+    return found if name is None else found.where((F.col("name") == name) | (F.col("dotted") == name))
+
+
+def first_call(g: CodeGraph, nodes: DataFrame) -> DataFrame:
+    """``(file, id, call)``: the name of the first call in each subtree, by depth and id; null without one."""
+    c = _kind(g, "CALL").select(F.col("file").alias("f"), F.col("id").alias("c"), "depth", "name")
+    own = nodes.select("file", "id", "last_id")
+    met = own.join(c, (own["file"] == c["f"]) & (c["c"] >= own["id"]) & (c["c"] <= own["last_id"]), "left")
+    return met.groupBy("file", "id").agg(F.min_by("name", F.struct("depth", "c")).alias("call"))
+
+
+def flows_from(flows: DataFrame, graph: str, node: int) -> DataFrame:
+    """Data-flow edges that leave a node."""
+    return flows.where((F.col("graph") == graph) & (F.col("src") == node))
+
+
+def control_paths(g: CodeGraph, graph: str, start: int, end: int, most: int = 32) -> DataFrame:
+    """All simple control-flow paths between two nodes of a method, as arrays of ids."""
+    edges = g.cfg_edges.where(F.col("graph") == graph).select("src", "dst")
+    return closure.simple_paths(edges, start, most).where(F.element_at("path", -1) == end)
+
+
+def control_subgraph(g: CodeGraph, graph: str, source: int, target: int) -> DataFrame:
+    """Control-flow edges reachable from ``source`` without going on past ``target``."""
+    return closure.subgraph(g.cfg_edges.where(F.col("graph") == graph).select("src", "dst", "label"), source, target)
+
+
 def spring_sources(g: CodeGraph) -> DataFrame:
     """Method entries of routes with request parameters."""
     return spring_routes(g).where(F.size("params") > 0).select("graph", F.lit(1).alias("id"))

@@ -19,6 +19,7 @@ SOURCES = {
     "F.java": "package p; class F { void m() { try { a(); } catch (E e) { b(); } finally { c(); } } void a(){} void b(){} void c(){} }",
     "G.java": "package p; class G { void m(int k) { switch (k) { case 1: a(); break; case 2: b(); default: c(); } } void a(){} void b(){} void c(){} }",
     "H.java": "package p; class H { Helper h; void m(String a) { h.run(a); } } class Helper { void run(String b) { } }",
+    "K.java": "package p; class K { void m(U u) { u.a.b(1); c(); } }",
     "X.java": "package p; class X extends Base { String title; void f(int a) { } void f(String b) { products = getTitle(); } } class Base extends ActionSupport { }",
 }
 
@@ -89,11 +90,59 @@ def java_assigned(spark, d):
     return code.assigned(graph(spark), "products").select("file", "checkpoint", "vulnerability")
 
 
+def java_dotted_calls(spark, d):
+    return code.calls(graph(spark)).where("file IN ('p.B', 'p.H', 'p.K')").select("file", "dotted", F.array_join("args", ",").alias("args"))
+
+
+def java_flow_node(spark, d):
+    g = graph(spark)
+    names = g.ast.where("file = 'p.A' AND kind IN ('LITERAL', 'PACKAGE')")
+    return code.flow_node(g, names).select("id", "graph", "df")
+
+
+def java_first_call(spark, d):
+    g = graph(spark)
+    return code.first_call(g, g.ast.where("kind = 'METHOD' AND file IN ('p.A', 'p.B', 'p.K')")).select("file", "id", "call")
+
+
+def java_paths(spark, d):
+    return code.control_paths(graph(spark), "p.D.m", 1, 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+def java_subgraph(spark, d):
+    return code.control_subgraph(graph(spark), "p.D.m", 4, 7)
+
+
+def java_callers(spark, d):
+    return code.find_callers(code.call_graph(graph(spark)), "p.F.c")
+
+
+def java_fields(spark, d):
+    return graph(spark).fields.select("qn", "name", "type")
+
+
+def java_node(spark, d):
+    return graph(spark).cfg.where("graph = 'p.A.f' AND id = 3").select("kind", "line", "code")
+
+
+def java_dot(spark, d):
+    g = graph(spark)
+    from graphloom.operators.algebra import dot_text
+
+    only = F.col("graph") == "p.A.f"
+    return dot_text(g.cfg.where(only), g.cfg_edges.where(only), "graph")
+
+
+def java_struts_sources(spark, d):
+    return code.struts_sources(graph(spark)).select("file", "line", "name")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         java_ast, java_cfg_nodes, java_cfg_edges, java_def_use, java_data_flow, java_call_graph, java_sinks, java_routes, java_taint,
         java_classes, java_methods, java_super_classes, java_assigned,
+        java_dotted_calls, java_flow_node, java_first_call, java_paths, java_subgraph, java_callers, java_fields, java_node, java_dot, java_struts_sources,
     )
 }
 
@@ -154,13 +203,24 @@ SQL: dict[str, str] = {
         ("p.H.m", 1, 2, "p.H.m", "a", "INTRA"), ("p.H.m", 2, 1, "p.Helper.run", "inter-procedural", "INTER"),
     ),
     "java_call_graph": _values(
-        "method_qn, callees", ("p.B.g", "createQuery,h"), ("p.C.u", "executeQuery"), ("p.F.m", "a,b,c"), ("p.G.m", "a,b,c"), ("p.H.m", "run"), ("p.X.f", "getTitle"),
+        "method_qn, callees", ("p.B.g", "createQuery,h"), ("p.C.u", "executeQuery"), ("p.F.m", "a,b,c"), ("p.G.m", "a,b,c"), ("p.H.m", "run"), ("p.K.m", "b,c"), ("p.X.f", "getTitle"),
     ),
     "java_sinks": _values("file, line, sink_text, vulnerability, checkpoint", ("p.B", 2, "createQuery", "SQL", "q"), ("p.C", 5, "executeQuery", "SQL", "q")),
     "java_routes": _values("class, method, route, params", ("p.C", "u", '"/u"', "id")),
     "java_taint": _values("source_graph, source_id, sink_graph, sink_id, vulnerability, checkpoint", ("p.C.u", 1, "p.C.u", 3, "SQL", "q")),
-    "java_classes": _values("qn, name, extends", *[(f"p.{n}", n, {"X": "Base", "Base": "ActionSupport"}.get(n)) for n in ("A", "B", "C", "D", "E", "F", "G", "H", "Helper", "X", "Base")]),
+    "java_classes": _values("qn, name, extends", *[(f"p.{n}", n, {"X": "Base", "Base": "ActionSupport"}.get(n)) for n in ("A", "B", "C", "D", "E", "F", "G", "H", "Helper", "K", "X", "Base")]),
     "java_methods": _values("graph, name, ret_type, args", ("p.B.g", "g", "void", "s,q"), ("p.B.h", "h", "void", "z"), ("p.X.f", "f", "void", "a"), ("p.X.f#2", "f", "void", "b")),
     "java_super_classes": _values("qn, ancestor", ("p.X", "Base"), ("p.X", "ActionSupport"), ("p.Base", "ActionSupport")),
+    "java_dotted_calls": _values("file, dotted, args", ("p.B", "s.createQuery", "q"), ("p.B", "h", "q"), ("p.H", "h.run", "a"), ("p.K", "u.a.b", "1"), ("p.K", "c", "")),
+    "java_flow_node": _values("id, graph, df", (2, None, None), (21, "p.A.f", 2), (26, "p.A.f", 3), (33, "p.A.f", 4)),
+    "java_first_call": _values("file, id, call", ("p.A", 6, None), ("p.B", 6, "createQuery"), ("p.B", 30, None), ("p.K", 6, "c")),
+    "java_paths": _values("path", ("1>2>3",), ("1>2>4>5>3",)),
+    "java_subgraph": _values("src, dst, label", (4, 5, "TRUE"), (5, 3, "EPS"), (4, 6, "FALSE"), (6, 7, "EPS")),
+    "java_callers": _values("method_qn", ("p.F.m",), ("p.G.m",), ("p.K.m",)),
+    "java_fields": _values("qn, name, type", ("p.H", "h", "Helper"), ("p.X", "title", "String")),
+    "java_node": _values("kind, line, code", ("IF", 2, "if (y > 0)")),
+    "java_dot": "SELECT 'p.A.f' AS graph, concat_ws(chr(10), 'digraph {', '1 [label=\"int f(int x)\"];', '2 [label=\"int y = x + 1;\"];', '3 [label=\"if (y &gt; 0)\"];', '4 [label=\"y = 2;\"];', '5 [label=\"endif\"];', '6 [label=\"return y;\"];', "
+    + "'1 -> 2 [label=\"EPS\"];', '2 -> 3 [label=\"EPS\"];', '3 -> 4 [label=\"TRUE\"];', '3 -> 5 [label=\"FALSE\"];', '4 -> 5 [label=\"EPS\"];', '5 -> 6 [label=\"EPS\"];', '}') AS dot",
+    "java_struts_sources": _values("file, line, name", ("p.X", 1, "getTitle")),
     "java_assigned": _values("file, checkpoint, vulnerability", ("p.X", "getTitle()", "XSS")),
 }

@@ -232,6 +232,16 @@ class Tree:
         elif k != "empty":
             add(parent, "STATEMENT", self.s.text(n), n)
 
+    def path(self, n: N) -> str:
+        """Names of an access path, joined by dots, without arguments and indexes."""
+        if n.kind in ("name", "call"):
+            return n.name
+        if n.kind == "dot":
+            return f"{self.path(n.left)}.{self.path(n.right)}"
+        if n.kind == "array":
+            return self.path(n.left)
+        return self.path(n.expr) if n.kind == "paren" else self.s.joined(n)
+
     def expr(self, parent: int, n: N) -> None:
         k, add = n.kind, self.add
         if k == "paren":
@@ -241,9 +251,12 @@ class Tree:
         elif k == "literal":
             add(parent, "LITERAL", self.s.text(n), n)
         elif k == "dot":
-            at = add(parent, "DOT", "", n)
+            at = add(parent, "DOT", "", n, text=self.path(n))
             self.expr(at, n.left)
             self.expr(at, n.right)
+            for r in self.rows[at:]:  # a call at the end of the path is known by all of it
+                if n.right.kind == "call" and r["kind"] == "CALL" and r["parent"] == at and r["name"] == n.right.name:
+                    r["text"] = self.path(n)
         elif k == "array":
             at = add(parent, "ARRAY", "", n)
             self.expr(at, n.left)
