@@ -213,7 +213,7 @@ SQL: dict[str, str] = {
     "java_super_classes": _values("qn, ancestor", ("p.X", "Base"), ("p.X", "ActionSupport"), ("p.Base", "ActionSupport")),
     "java_dotted_calls": _values("file, dotted, args", ("p.B", "s.createQuery", "q"), ("p.B", "h", "q"), ("p.H", "h.run", "a"), ("p.K", "u.a.b", "1"), ("p.K", "c", "")),
     "java_flow_node": _values("id, graph, df", (2, None, None), (21, "p.A.f", 2), (26, "p.A.f", 3), (33, "p.A.f", 4)),
-    "java_first_call": _values("file, id, call", ("p.A", 6, None), ("p.B", 6, "createQuery"), ("p.B", 30, None), ("p.K", 6, "c")),
+    "java_first_call": _values("file, id, call", ("p.A", 6, None), ("p.B", 6, "h"), ("p.B", 30, None), ("p.K", 6, "c")),
     "java_paths": _values("path", ("1>2>3",), ("1>2>4>5>3",)),
     "java_subgraph": _values("src, dst, label", (4, 5, "TRUE"), (5, 3, "EPS"), (4, 6, "FALSE"), (6, 7, "EPS")),
     "java_callers": _values("method_qn", ("p.F.m",), ("p.G.m",), ("p.K.m",)),
