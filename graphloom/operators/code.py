@@ -56,7 +56,7 @@ def data_flow(g: CodeGraph) -> DataFrame:
 def call_edges(g: CodeGraph) -> DataFrame:
     """INTER edges from calls to the entries of the project's methods.
 
-    A call without a receiver is of its own class, one with a declared receiver
+    Receivers of library types have none.  A call without a receiver is of its own class, one with a declared receiver
     type of the class of that simple name (the first by name), ``new T`` of its
     constructors; overloads are matched by name, the first wins.
     """
@@ -64,7 +64,7 @@ def call_edges(g: CodeGraph) -> DataFrame:
     first = algebra.keep_first(classes, ["cls"], ["qn"])
     simple = F.regexp_replace("type", r"\[\]", "")
     c = g.calls.withColumn("cls", F.when(F.col("type").isNotNull(), scalar.last_segment(simple)))
-    by_type = c.where("cls IS NOT NULL").join(first, "cls").select("graph", "id", "name", "qn", "cls")
+    by_type = c.where(F.col("cls").isNotNull() & ~scalar.is_builtin(F.col("type"))).join(first, "cls").select("graph", "id", "name", "qn", "cls")
     own = c.where("receiver IS NULL AND type IS NULL").select("graph", "id", "name", F.col("owner").alias("qn"), F.lit(None).cast("string").alias("cls"))
     wanted = by_type.union(own).withColumn("name", F.when(F.col("name") == "<init>", F.col("cls")).otherwise(F.col("name"))).drop("cls")
     methods = algebra.keep_first(g.methods.select("qn", "name", F.col("graph").alias("dst_graph"), F.col("id").alias("k")), ["qn", "name"], ["k"])
@@ -172,6 +172,26 @@ def calls(g: CodeGraph, name: str | None = None) -> DataFrame:
     return found if name is None else found.where((F.col("name") == name) | (F.col("dotted") == name))
 
 
+def get_method(g: CodeGraph, qn: str, name: str) -> DataFrame:
+    """The first method of a name in a class."""
+    return algebra.keep_first(g.methods.where((F.col("qn") == qn) & (F.col("name") == name)), ["qn", "name"], ["id"])
+
+
+def class_by_name(g: CodeGraph, name: str) -> DataFrame:
+    """Classes of a simple name."""
+    return g.classes.where(F.col("name") == name)
+
+
+def graphs_of_file(g: CodeGraph, file: str) -> DataFrame:
+    """``(graph, nodes)`` of the control-flow graphs of a file."""
+    return g.cfg.where(F.col("file") == file).groupBy("graph").agg(F.count("*").alias("nodes"))
+
+
+def returns(g: CodeGraph) -> DataFrame:
+    """Nodes that are return statements with a value."""
+    return _kind(g, "RETURN").select("file", "id", "line")
+
+
 def first_call(g: CodeGraph, nodes: DataFrame) -> DataFrame:
     """``(file, id, call)``: the name of the first call in each subtree, by depth and id; null without one."""
     c = _kind(g, "CALL").select(F.col("file").alias("f"), F.col("id").alias("c"), "depth", "name")

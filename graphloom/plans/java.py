@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions import scalar
 from graphloom.operators import code
 from graphloom.sources.java import CodeGraph
 
@@ -20,6 +21,8 @@ SOURCES = {
     "G.java": "package p; class G { void m(int k) { switch (k) { case 1: a(); break; case 2: b(); default: c(); } } void a(){} void b(){} void c(){} }",
     "H.java": "package p; class H { Helper h; void m(String a) { h.run(a); } } class Helper { void run(String b) { } }",
     "K.java": "package p; class K { void m(U u) { u.a.b(1); c(); } }",
+    "L.java": "package p; class L { Run r; void m(List<String> l, String a) { l.add(a); r.go(); new Run(a); } }",
+    "Run.java": "package p; class Run { Run(String s) { } void go() { } } class List { void add(String x) { } }",
     "X.java": "package p; class X extends Base { String title; void f(int a) { } void f(String b) { products = getTitle(); } } class Base extends ActionSupport { }",
 }
 
@@ -52,7 +55,7 @@ def java_def_use(spark, d):
 
 def java_data_flow(spark, d):
     found = code.data_flow(graph(spark))
-    return found.where("graph IN ('p.A.f', 'p.B.g', 'p.C.u', 'p.D.m', 'p.H.m')").select("graph", "src", "dst", "dst_graph", "label", "kind")
+    return found.where("graph IN ('p.A.f', 'p.B.g', 'p.C.u', 'p.D.m', 'p.H.m', 'p.L.m')").select("graph", "src", "dst", "dst_graph", "label", "kind")
 
 
 def java_call_graph(spark, d):
@@ -137,12 +140,56 @@ def java_struts_sources(spark, d):
     return code.struts_sources(graph(spark)).select("file", "line", "name")
 
 
+def java_method_calls(spark, d):
+    return code.method_calls(graph(spark), "p", "F", "c").select("file", "line")
+
+
+def java_arguments(spark, d):
+    return code.arguments_named(graph(spark), "q").select("file", "line")
+
+
+def java_get_method(spark, d):
+    return code.get_method(graph(spark), "p.X", "f").select("graph", F.array_join("args", ",").alias("args"))
+
+
+def java_class_by_name(spark, d):
+    return code.class_by_name(graph(spark), "Helper").select("qn", "file")
+
+
+def java_graphs_of_file(spark, d):
+    return code.graphs_of_file(graph(spark), "p.F")
+
+
+def java_returns(spark, d):
+    return code.returns(graph(spark)).select("file", "line")
+
+
+def java_parameters(spark, d):
+    return graph(spark).parameters.where("qn IN ('p.B', 'p.C')").select("graph", "id", "name", "type")
+
+
+def d04_usable(spark, d):
+    rows = [("x",), ("$INT",), ("f()",), ("a[0]",), ("i++",), ("-x",), ("a.b",), ("{1}",), ("<T>f",), ("!b",), ("x--",)]
+    return spark.createDataFrame(rows, "e string").where(scalar.is_usable(F.col("e")))
+
+
+def d20_builtin(spark, d):
+    rows = [("List<String>",), ("Helper",), ("Map.Entry",), ("int",), ("Integer[]",)]
+    return spark.createDataFrame(rows, "t string").where(scalar.is_builtin(F.col("t")))
+
+
+def h08_infix(spark, d):
+    rows = [(1, ["+", "a", "b"]), (2, ["*", "+", "a", "b", "c"]), (3, ["x"])]
+    return spark.createDataFrame(rows, "k int, e array<string>").select("k", scalar.infix(F.col("e")).alias("infix"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         java_ast, java_cfg_nodes, java_cfg_edges, java_def_use, java_data_flow, java_call_graph, java_sinks, java_routes, java_taint,
         java_classes, java_methods, java_super_classes, java_assigned,
         java_dotted_calls, java_flow_node, java_first_call, java_paths, java_subgraph, java_callers, java_fields, java_node, java_dot, java_struts_sources,
+        java_method_calls, java_arguments, java_get_method, java_class_by_name, java_graphs_of_file, java_returns, java_parameters, d04_usable, d20_builtin, h08_infix,
     )
 }
 
@@ -201,14 +248,17 @@ SQL: dict[str, str] = {
         *[("p.C.u", a, b, "p.C.u", v, "INTRA") for a, b, v in ((1, 2, "id"), (2, 3, "q"), (2, 4, "q"))],
         *[("p.D.m", a, b, "p.D.m", "n", "INTRA") for a, b in ((1, 2), (1, 3), (1, 4), (4, 2), (4, 3))],
         ("p.H.m", 1, 2, "p.H.m", "a", "INTRA"), ("p.H.m", 2, 1, "p.Helper.run", "inter-procedural", "INTER"),
+        # l.add defines l and has no edge to the project's class List
+        ("p.L.m", 1, 2, "p.L.m", "l", "INTRA"), ("p.L.m", 1, 2, "p.L.m", "a", "INTRA"), ("p.L.m", 1, 4, "p.L.m", "a", "INTRA"),
+        ("p.L.m", 3, 1, "p.Run.go", "inter-procedural", "INTER"), ("p.L.m", 4, 1, "p.Run.Run", "inter-procedural", "INTER"),
     ),
     "java_call_graph": _values(
-        "method_qn, callees", ("p.B.g", "createQuery,h"), ("p.C.u", "executeQuery"), ("p.F.m", "a,b,c"), ("p.G.m", "a,b,c"), ("p.H.m", "run"), ("p.K.m", "b,c"), ("p.X.f", "getTitle"),
+        "method_qn, callees", ("p.B.g", "createQuery,h"), ("p.C.u", "executeQuery"), ("p.F.m", "a,b,c"), ("p.G.m", "a,b,c"), ("p.H.m", "run"), ("p.K.m", "b,c"), ("p.L.m", "add,go"), ("p.X.f", "getTitle"),
     ),
     "java_sinks": _values("file, line, sink_text, vulnerability, checkpoint", ("p.B", 2, "createQuery", "SQL", "q"), ("p.C", 5, "executeQuery", "SQL", "q")),
     "java_routes": _values("class, method, route, params", ("p.C", "u", '"/u"', "id")),
     "java_taint": _values("source_graph, source_id, sink_graph, sink_id, vulnerability, checkpoint", ("p.C.u", 1, "p.C.u", 3, "SQL", "q")),
-    "java_classes": _values("qn, name, extends", *[(f"p.{n}", n, {"X": "Base", "Base": "ActionSupport"}.get(n)) for n in ("A", "B", "C", "D", "E", "F", "G", "H", "Helper", "K", "X", "Base")]),
+    "java_classes": _values("qn, name, extends", *[(f"p.{n}", n, {"X": "Base", "Base": "ActionSupport"}.get(n)) for n in ("A", "B", "C", "D", "E", "F", "G", "H", "Helper", "K", "L", "Run", "List", "X", "Base")]),
     "java_methods": _values("graph, name, ret_type, args", ("p.B.g", "g", "void", "s,q"), ("p.B.h", "h", "void", "z"), ("p.X.f", "f", "void", "a"), ("p.X.f#2", "f", "void", "b")),
     "java_super_classes": _values("qn, ancestor", ("p.X", "Base"), ("p.X", "ActionSupport"), ("p.Base", "ActionSupport")),
     "java_dotted_calls": _values("file, dotted, args", ("p.B", "s.createQuery", "q"), ("p.B", "h", "q"), ("p.H", "h.run", "a"), ("p.K", "u.a.b", "1"), ("p.K", "c", "")),
@@ -217,10 +267,20 @@ SQL: dict[str, str] = {
     "java_paths": _values("path", ("1>2>3",), ("1>2>4>5>3",)),
     "java_subgraph": _values("src, dst, label", (4, 5, "TRUE"), (5, 3, "EPS"), (4, 6, "FALSE"), (6, 7, "EPS")),
     "java_callers": _values("method_qn", ("p.F.m",), ("p.G.m",), ("p.K.m",)),
-    "java_fields": _values("qn, name, type", ("p.H", "h", "Helper"), ("p.X", "title", "String")),
+    "java_fields": _values("qn, name, type", ("p.H", "h", "Helper"), ("p.L", "r", "Run"), ("p.X", "title", "String")),
     "java_node": _values("kind, line, code", ("IF", 2, "if (y > 0)")),
     "java_dot": "SELECT 'p.A.f' AS graph, concat_ws(chr(10), 'digraph {', '1 [label=\"int f(int x)\"];', '2 [label=\"int y = x + 1;\"];', '3 [label=\"if (y &gt; 0)\"];', '4 [label=\"y = 2;\"];', '5 [label=\"endif\"];', '6 [label=\"return y;\"];', "
     + "'1 -> 2 [label=\"EPS\"];', '2 -> 3 [label=\"EPS\"];', '3 -> 4 [label=\"TRUE\"];', '3 -> 5 [label=\"FALSE\"];', '4 -> 5 [label=\"EPS\"];', '5 -> 6 [label=\"EPS\"];', '}') AS dot",
     "java_struts_sources": _values("file, line, name", ("p.X", 1, "getTitle")),
+    "java_method_calls": _values("file, line", ("p.F", 1)),
+    "java_arguments": _values("file, line", ("p.B", 2), ("p.B", 2), ("p.C", 5)),
+    "java_get_method": _values("graph, args", ("p.X.f", "a")),
+    "java_class_by_name": _values("qn, file", ("p.Helper", "p.H")),
+    "java_graphs_of_file": _values("graph, nodes", ("p.F.m", 10), ("p.F.a", 1), ("p.F.b", 1), ("p.F.c", 1)),
+    "java_returns": _values("file, line", ("p.A", 2), ("p.C", 5), ("p.E", 1)),
+    "java_parameters": _values("graph, id, name, type", ("p.B.g", 1, "s", "Session"), ("p.B.g", 2, "q", "String"), ("p.B.h", 1, "z", "String"), ("p.C.u", 1, "id", "String")),
+    "d04_usable": _values("e", ("x",), ("a.b",)),
+    "d20_builtin": _values("t", ("List<String>",), ("Map.Entry",), ("Integer[]",)),
+    "h08_infix": _values("k, infix", (1, "(a+b)"), (2, "((a+b)*c)"), (3, "x")),
     "java_assigned": _values("file, checkpoint, vulnerability", ("p.X", "getTitle()", "XSS")),
 }
