@@ -143,9 +143,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
 #: DuckDB SQL of the query: containment by brute force over all shingles.
 SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS words FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM documents
 ), b AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS words FROM benchmark
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words FROM benchmark
 ), bw AS (SELECT item_id, words, least(len(words), 5) AS width FROM b WHERE len(words) > 0),
 s AS (
   SELECT DISTINCT item_id, width, array_to_string(list_slice(words, i, i + width - 1), ' ') AS g

@@ -132,17 +132,17 @@ def _sql() -> str:
     return rf"""
 WITH t0 AS (SELECT * FROM (VALUES {rows}) t(k, license, body)),
 t AS (
-  SELECT k, license, list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), x -> x <> '') AS w FROM t0
+  SELECT k, license, list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM t0
 ), tg AS (
-  SELECT license, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS g FROM t
+  SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM t
 ), u AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents
   UNION SELECT doc_id, p FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS p FROM documents) WHERE contains(p, chr(10))
   UNION SELECT doc_id, text FROM documents
 ), uw AS (
-  SELECT doc_id, unit, list_filter(regexp_split_to_array(lower(unit), '[^a-z0-9]+'), x -> x <> '') AS w FROM u
+  SELECT doc_id, unit, list_filter(regexp_split_to_array(lower(unit), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM u
 ), ug AS (
-  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS has FROM uw WHERE len(w) >= 2
+  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS has FROM uw WHERE len(w) >= 2
 ), s AS (
   SELECT doc_id, unit, license, 2.0::DOUBLE * len(list_intersect(has, g)) / (len(has) + len(g)) AS dice FROM ug, tg
 )
