@@ -61,6 +61,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each id: a byte-level token has one character for each.
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, number in vocabulary.items():
+            self.bytes[number] = len(token)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -72,6 +77,28 @@ class Encoder:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.kind).tobytes() for x in found]
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, many in one text, and cut the ids where the pieces end.
+
+        Only pieces that start with white space and end with a visible character
+        are put together: no token crosses such places.
+        """
+        inner = [p for p in pieces if p[0] in " \n\r\t" and p[-1] not in " \n\r\t"]
+        alone = [p for p in pieces if not (p[0] in " \n\r\t" and p[-1] not in " \n\r\t")]
+        groups = [inner[i : i + 256] for i in range(0, len(inner), 256)]
+        found = self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False)
+        for group, x in zip(groups, found):
+            ids = np.array(x.ids, dtype=self.kind)
+            ends = np.cumsum(self.bytes[ids])
+            wanted = np.cumsum([len(p.encode()) for p in group])
+            cut = np.searchsorted(ends, wanted) + 1
+            if cut[-1] != len(ids) or (ends[cut - 1] != wanted).any():
+                alone += group
+                continue
+            raw, places = ids.tobytes(), [0, *(cut * self.kind.itemsize).tolist()]
+            self.known.update((p, raw[a:b]) for p, a, b in zip(group, places, places[1:]))
+        self.known.update(zip(alone, self._ids(alone)))
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -83,8 +110,7 @@ class Encoder:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            new = list({p for p in pieces if p not in known})
-            known.update(zip(new, self._ids(new)))
+            self._learn(list({p for p in pieces if p not in known}))
             return b"".join([known[p] for p in pieces])
 
 
