@@ -35,8 +35,8 @@ from graphloom.llm.common import Stored, sweep
 
 #: Words of an anchor.
 ANCHOR = 8
-#: Up to so many documents with spans (counted first) their spans are broadcast; more are joined by a shuffle.
-BROADCAST_DOCS = 200_000
+#: Up to so many merged spans in all (counted first, 16 bytes each and 16 a document) are broadcast; more are joined by a shuffle.
+BROADCAST_SPANS = 500_000
 #: Paths that a map task combines at a time.
 COMBINED = 1 << 21
 
@@ -203,13 +203,34 @@ def repeated_spans(df: DataFrame, width: int) -> DataFrame:
     sweep(df.sparkSession)
 
     # edges of branching paths, each with its earliest coordinate
-    wanted = known.df.where("branch").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    edges = Stored(_with_spans(df, wanted).mapInArrow(_edges(width), "edge long, doc_id long, text_hash long, start int"), "edges")
+    wanted = _merged(known.df.where("branch").select("doc_id", "text_hash", "start", "windows"))
+    edges = Stored(_with_spans(df, wanted, "inner").mapInArrow(_edges(width), "edge long, doc_id long, text_hash long, start int"), "edges")
     place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "text_hash", "start")
     earliest = edges.df.groupBy("edge").agg(F.min(place).alias("first"))
     later = edges.df.join(earliest, "edge").where(place != F.col("first")).select("doc_id", "text_hash", "start", F.lit(1).alias("windows"))
     spans = known.df.where("NOT branch").select("doc_id", "text_hash", "start", "windows").union(later)
-    return spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    return _merged(spans)
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, spans)``: each document's spans in order, those that touch made one."""
+    by_doc = spans.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own in batch.column(2):
+                x = own.values
+                start, many = x.field("start").to_numpy(), x.field("windows").to_numpy()
+                order = np.argsort(start, kind="stable")
+                start, end = start[order], np.maximum.accumulate((start + many)[order])
+                new = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+                last = np.append(new[1:], len(start)) - 1
+                out.append([{"start": int(a), "windows": int(b - a)} for a, b in zip(start[new], end[last])])
+            spans = pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("windows", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], spans], names=["doc_id", "text_hash", "spans"])
+
+    return by_doc.mapInArrow(run, "doc_id long, text_hash long, spans array<struct<start int, windows int>>")
 
 
 def _resolve_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,12 +253,13 @@ def _resolve_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from passed
 
 
-def _with_spans(df: DataFrame, spans: DataFrame) -> DataFrame:
-    """Texts of the documents that have spans."""
-    held = Stored(spans, "spans")
-    side = F.broadcast(held.df) if held.df.count() <= BROADCAST_DOCS else held.df
+def _with_spans(df: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    """Texts with their documents' spans."""
+    held = Stored(spans, "spans").df
+    many = held.agg(F.sum(F.size("spans"))).first()[0] or 0
+    side = F.broadcast(held) if many <= BROADCAST_SPANS else held
     same = df["doc_id"].eqNullSafe(side["doc_id"]) & (df["text_hash"] == side["text_hash"])
-    return df.join(side, same).select(df["doc_id"], df["text_hash"], df["text"], side["spans"])
+    return df.join(side, same, how).select(df["doc_id"], df["text_hash"], df["text"], side["spans"])
 
 
 def _edges(width: int):
@@ -277,11 +299,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.col(text_col).cast("string").cast("binary")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    spans = Stored(repeated_spans(docs, width), "removed")
+    joined = _with_spans(docs, repeated_spans(docs, width), "left").select("doc_id", "text", "spans")
     sweep(df.sparkSession)
-    side = F.broadcast(spans.df) if spans.df.count() <= BROADCAST_DOCS else spans.df
-    same = docs["doc_id"].eqNullSafe(side["doc_id"]) & (docs["text_hash"] == side["text_hash"])
-    joined = docs.join(side, same, "left").select(docs["doc_id"], docs["text"], side["spans"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
