@@ -259,76 +259,90 @@ def simhash_components(
     )
 
 
-#: Seeds of the fingerprints of distinct words that near-duplicate search looks at.
-SEEDS = (42, 43, 44, 45, 46)
+#: Texts that tell common shingles from rare ones, and how many common ones are kept.
+SAMPLE_TEXTS, COMMON = 20_000, 100_000
+#: Rounds of stars at most, and pairs for each listed row up to which all pairs are tried at once.
+STAR_ROUNDS, FEW_PAIRS = 8, 4
 
 
-def _centre(linked: DataFrame) -> DataFrame:
-    """``(root, centre)``: the member of each component nearest to the bitwise majority of its fingerprints."""
-    bit = lambda i: F.shiftrightunsigned("fp", i).bitwiseAND(1)
-    sums = linked.groupBy("root").agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(BITS)])
-    most = sums.select("root", F.expr(" | ".join(f"shiftleft(if(b{i} * 2 > n, 1L, 0L), {i})" for i in range(BITS))).alias("most"))
-    off = F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("most"))), "node")
-    return linked.join(most, "root").groupBy("root").agg(F.min(off)["node"].alias("centre"))
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    own = {xxhash.xxh3_64_intdigest(s) for s in shingles_of(words_of(text), width)}
+    return np.sort(np.fromiter(own, dtype=np.uint64, count=len(own)))
+
+
+def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a bounded sample hold, sorted, and in how many."""
+    total = texts.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))], names=["token"])
+
+    uniform = F.shiftrightunsigned(F.xxhash64("text_hash"), 11) / float(1 << 53)
+    drawn = texts.where(uniform < SAMPLE_TEXTS / max(total, 1)).select("text")
+    most = drawn.mapInArrow(run, "token long").groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(COMMON).toPandas()
+    tokens, counts = most["token"].to_numpy(dtype=np.int64).view(np.uint64), most["count"].to_numpy(dtype=np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
 
 
 def near_duplicate_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 4
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """``(doc_id, text_hash, group)``, one row for each distinct pair of id and text.
 
     Two texts belong together if the Jaccard coefficient of their sets of
     ``width``-word shingles is at least ``similarity``, and so do equal texts.
-    Candidates come from SimHash fingerprints of the distinct words (less
-    sensitive to an edit than those of shingles, and not ruled by the few most
-    frequent words of a long text), under several seeds: trie links between
-    fingerprints, texts that share one, and each text with the centre of its
-    component (over the candidates of all seeds).  Every candidate is verified on the exact sets.  group is the
-    smallest text hash reachable over verified links.
+    The search is exact (up to equal 64-bit hashes).  In an order that all sets
+    share, common shingles last, two similar sets have their first shared shingle
+    among the first ``n - ceil(similarity * n) + 1`` of each, and from there on
+    enough is left in both.  Sets that share such a shingle are listed under it.
+    Long lists are first tried as stars around a member, which is then done with;
+    members of one verified component need no test.  What the stars leave is
+    tried pair by pair, so at the end every listed pair of different components
+    was verified on the exact sets.  group is the smallest text hash reachable
+    over verified links.
     """
     spark = df.sparkSession
     narrow = df.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
     ).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    names = [f"fp{s}" for s in SEEDS]
+    shared = spark.sparkContext.broadcast(_common(narrow, width))  # bounded by COMMON
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = shared.value
         for batch in batches:
-            words = [set(words_of(t)) for t in batch.column(2).to_pylist()]
-            fps = [[majority(w, s) for w in words] for s in SEEDS]
-            packed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in fps]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *packed], names=["doc_id", "text_hash", *names])
-
-    docs = Stored(narrow.mapInArrow(prints, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names)), "near").df
-    texts = Stored(docs.groupBy("text_hash").agg(*[F.first(n).alias(n) for n in names]), "near-texts").df
-    pairs = None
-    for name in names:
-        one = texts.select("text_hash", F.col(name).alias("fp"))
-        by_fp = Stored(one.groupBy("fp").agg(F.min("text_hash").alias("text")), "near-fp").df
-        found = links(by_fp.select("fp"), budget)
-        of = lambda c: by_fp.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}"))  # noqa: E731, B023
-        between = found.join(of("a"), "a").join(of("b"), "b").select("text_a", "text_b")
-        within = one.join(by_fp, "fp").select(F.col("text_hash").alias("text_a"), F.col("text").alias("text_b"))
-        both = between.union(within).where("text_a != text_b")
-        pairs = both if pairs is None else pairs.union(both)
-    linked = Stored(pairs, "near-links").df
-    member = components(linked, "text_a", "text_b").join(texts.select(F.col("text_hash").alias("node"), F.col(names[0]).alias("fp")), "node")
-    stars = member.join(_centre(member), "root").select(F.col("node").alias("text_a"), F.col("centre").alias("text_b"))
-    pairs = linked.union(stars.where("text_a != text_b"))
-    candidates = Stored(pairs.select(F.least("text_a", "text_b").alias("a"), F.greatest("text_a", "text_b").alias("b")).distinct(), "near-pairs").df
-    wanted = candidates.select(F.col("a").alias("text_hash")).union(candidates.select("b")).distinct()
-    n_wanted = wanted.count()
-    sets = narrow.select("text_hash", "text").join(F.broadcast(wanted) if n_wanted <= 1_000_000 else wanted, "text_hash", "left_semi")
+            nodes, sizes, firsts = [], [], []
+            for text in batch.column(2).to_pylist():
+                has = shingle_set(text, width)
+                nodes.append(xxhash.xxh3_64_intdigest(has.tobytes()))
+                sizes.append(len(has))
+                seen = np.zeros(len(has), dtype=np.int64)
+                if len(tokens):
+                    at = np.minimum(np.searchsorted(tokens, has), len(tokens) - 1)
+                    seen = np.where(tokens[at] == has, counts[at], 0)
+                need = int(np.ceil(similarity * len(has) - 1e-9))
+                firsts.append(has[np.lexsort((has, seen))][: len(has) - need + 1].view(np.int64))
+            packed = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *packed], names=["doc_id", "text_hash", "node", "n", "tokens"])
+
+    docs = Stored(narrow.mapInArrow(prefixes, "doc_id long, text_hash long, node long, n int, tokens array<long>"), "near").df
+    listed = docs.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
+    several = Stored(listed.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token"), "near-tokens").df
+    small = lambda t: F.broadcast(t) if t.count() <= 1_000_000 else t
+    live = Stored(listed.join(small(several), "token", "left_semi").distinct(), "near-lists").df
+    # one text for each set that is listed
+    wanted = docs.join(small(live.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+    sets = narrow.select("text_hash", "text").join(small(Stored(wanted, "near-wanted").df), "text_hash").select("node", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                own = {xxhash.xxh3_64_intdigest(s) for s in shingles_of(words_of(text), width)}
-                found.append(np.sort(np.fromiter(own, dtype=np.uint64, count=len(own))).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["text_hash", "has"])
+            found = [shingle_set(text, width).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "has"])
 
-    sets = Stored(sets.mapInArrow(hashed, "text_hash long, has binary").dropDuplicates(["text_hash"]), "near-sets").df
+    sets = Stored(sets.mapInArrow(hashed, "node long, has binary").dropDuplicates(["node"]), "near-sets").df
 
     @F.pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -340,14 +354,43 @@ def near_duplicate_groups(
             out.append(either == 0 or shared / either >= similarity - 1e-12)
         return pd.Series(out, dtype=bool)
 
-    left = sets.select(F.col("text_hash").alias("a"), F.col("has").alias("has_a"))
-    right = sets.select(F.col("text_hash").alias("b"), F.col("has").alias("has_b"))
-    verified = Stored(candidates.join(left, "a").join(right, "b").where(alike("has_a", "has_b")).select("a", "b"), "near-verified")
-    sweep(spark)
-    roots = components(verified.df, "a", "b").withColumnRenamed("node", "text_hash")
-    return docs.select("doc_id", "text_hash").distinct().join(roots, "text_hash", "left").select(
-        "doc_id", "text_hash", F.coalesce("root", "text_hash").alias("group")
-    )
+    left = sets.select(F.col("node").alias("a"), F.col("has").alias("has_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("has").alias("has_b"))
+    # sizes and places leave room for the shared shingles that the similarity needs
+    enough = F.expr(f"least(n - pos, n_b - pos_b) >= {similarity / (1 + similarity)!r}D * (n + n_b) - 1e-6D")
+    verified = roots = before = None
+    for turn in range(STAR_ROUNDS + 1):
+        placed = live.withColumn("root", F.col("node")) if roots is None else live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        lists = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
+            F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"),
+        ).where("lo != hi")
+        lists = Stored(lists, "near-open").df
+        rows, left_over = lists.agg(F.sum("c"), F.sum((F.col("c").cast("double") * F.col("c") - F.col("own")) / 2)).first()
+        if not rows:
+            break
+        placed = Stored(placed.join(small(lists.select("token")), "token", "left_semi").select("token", "node", "n", "pos", "root"), "near-placed").df
+        last = turn == STAR_ROUNDS or left_over <= FEW_PAIRS * rows or before is not None and left_over > before / 2
+        before = left_over
+        if last:
+            other = placed.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
+            met = placed.join(other, "token").where("root < root_b")
+        else:
+            lot = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root")
+            pivot = placed.groupBy("token").agg(F.min(lot).alias("p")).select("token", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
+            pivot = Stored(pivot, "near-pivots").df
+            met = placed.join(pivot, "token").where("root != root_b")
+            live = placed.join(pivot, "token").where("node != node_b").select("token", "node", "n", "pos")
+        pairs = met.where(enough).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+        found = Stored(pairs.join(left, "a").join(right, "b").where(alike("has_a", "has_b")).select("a", "b"), "near-verified").df
+        verified = found if verified is None else verified.union(found)
+        sweep(spark)
+        roots = Stored(components(verified, "a", "b"), "near-roots").df
+        if last:
+            break
+    each = docs.select("doc_id", "text_hash", "node").distinct()
+    rooted = each.withColumn("root", F.col("node")) if roots is None else each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("text_hash").alias("group"))
+    return rooted.join(least, "root").select("doc_id", "text_hash", "group")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

@@ -105,3 +105,49 @@ def test_near_duplicates_are_found_and_clean_texts_stay(spark):
     for i, _ in rows:
         first.setdefault(found[i], i)
     assert set(ids) == set(first.values()) | {901, 903, 904}
+
+
+def groups_by_brute_force(texts, similarity=0.8):
+    sets = [set(S.shingles_of(S.words_of(t.encode()), 5)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    similar = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            either = len(sets[i] | sets[j])
+            if not either or len(sets[i] & sets[j]) / either >= similarity:
+                similar += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))], similar
+
+
+def partition(labels):
+    out = {}
+    for i, g in enumerate(labels):
+        out.setdefault(g, set()).add(i)
+    return sorted(map(sorted, out.values()))
+
+
+def test_groups_are_whole_where_a_candidate_fails(spark):
+    # many copies around each base, so that most links of a forest or star are below the similarity
+    rng = random.Random(31)
+    vocab = [f"v{i}" for i in range(400)]
+    texts = []
+    for _ in range(6):
+        base = [rng.choice(vocab) for _ in range(150)]
+        for _ in range(40):
+            words = list(base)
+            for _ in range(rng.randrange(1, 7)):
+                words[rng.randrange(len(words))] = rng.choice(vocab)
+            texts.append(" ".join(words))
+    want, similar = groups_by_brute_force(texts)
+    assert similar > 200
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.group for r in S.near_duplicate_groups(df).collect()}
+    assert partition([found[i] for i in range(len(texts))]) == partition(want)
