@@ -151,3 +151,19 @@ def test_groups_are_whole_where_a_candidate_fails(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.group for r in S.near_duplicate_groups(df).collect()}
     assert partition([found[i] for i in range(len(texts))]) == partition(want)
+
+
+def test_pairs_at_the_border_of_the_similarity(spark):
+    # a run of words is replaced, which moves many bits of a fingerprint of words and few shingles
+    rng = random.Random(32)
+    texts = []
+    for _ in range(40):
+        base = [f"u{rng.randrange(3000)}" for _ in range(rng.randrange(180, 260))]
+        for run in (0, len(base) // 12, len(base) // 11, len(base) // 9):
+            at = rng.randrange(len(base) - run)
+            texts.append(" ".join(base[:at] + [f"x{rng.randrange(3000)}" for _ in range(run)] + base[at + run :]))
+    want, similar = groups_by_brute_force(texts)
+    assert 40 <= similar
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.group for r in S.near_duplicate_groups(df).collect()}
+    assert partition([found[i] for i in range(len(texts))]) == partition(want)
