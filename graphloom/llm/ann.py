@@ -11,8 +11,8 @@ reranked by exact inner products.
 Leaves are groups of the join; a leaf of more than ``PART`` vectors (many equal
 vectors, say) is dealt over several groups and its queries go to each.  A
 group returns at most k rows a query, and only scores that can reach the k best:
-not below the k-th best score within the sample, which is part of the
-candidates.
+not below the k-th best score within the sample.  The sample's k best are
+candidates of the query themselves, so that bound never leaves it fewer than k.
 """
 
 from __future__ import annotations
@@ -104,6 +104,24 @@ class Forest:
         return out
 
 
+def sample_best(known: np.ndarray, ids: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ids and scores of the sample's k nearest distinct ids other than ``own``, and the k-th score (-inf with fewer).
+
+    ``ids`` ascend, with the rows that share an id side by side.
+    """
+    rough = np.where(ids != own, known @ query, -np.inf)
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])[: len(ids)])
+    best = np.maximum.reduceat(rough, first) if len(first) else rough
+    count = int((best > -np.inf).sum())
+    least = float(np.partition(best, len(best) - k)[len(best) - k]) if count >= k else -np.inf
+    # a little more than k, ranked by the rerank's order of summation, so that equal vectors get equal scores
+    near = np.flatnonzero((rough > -np.inf) & (rough >= least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else rough > -np.inf))
+    scores = np.einsum("ij,j->i", known[near], query)
+    order = np.lexsort((ids[near], -scores))
+    order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][:k]
+    return ids[near][order], scores[order], least
+
+
 def nearest(
     df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20,
     probes: int = PROBES, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF,
@@ -171,15 +189,25 @@ def nearest(
             out = []
             for i, v in zip(pdf["vec_id"], pdf["v"]):
                 q = np.asarray(v, dtype=np.float64)
-                scores = (known @ q)[ids != i]
-                least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
+                _, _, least = sample_best(known, ids, i, q, k)
                 # a little lower, so that another order of summation loses nothing
                 least -= 1e-9 * (1 + abs(least)) if np.isfinite(least) else 0
                 out += [(n, p, i, q.tobytes(), least) for n in own.search(q, probes) for p in range(parts.get(n, 0))]
             if out:
                 yield pd.DataFrame(out, columns=["leaf", "part", "query_id", "q", "least"])
 
-    asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(probe, "leaf long, part int, query_id long, q binary, least double")
+    def sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, known, ids = shared.value
+        for pdf in frames:
+            best = [sample_best(known, ids, i, np.asarray(v, dtype=np.float64), k) for i, v in zip(pdf["vec_id"], pdf["v"])]
+            if best:
+                yield pd.DataFrame({
+                    "query_id": np.repeat(pdf["vec_id"].to_numpy(), [len(b[0]) for b in best]),
+                    "vec_id": np.concatenate([b[0] for b in best]), "score": np.concatenate([b[1] for b in best]),
+                })
+
+    queries = rows.where(F.col("vec_id") % every == 0)
+    asked = queries.mapInPandas(probe, "leaf long, part int, query_id long, q binary, least double")
 
     def rerank(key: tuple, vecs: pd.DataFrame, wants: pd.DataFrame) -> pd.DataFrame:
         if not len(vecs) or not len(wants):
@@ -207,6 +235,7 @@ def nearest(
     pairs = indexed.groupBy("leaf", "part").cogroup(asked.groupBy("leaf", "part")).applyInPandas(
         rerank, "query_id long, vec_id long, score double"
     )
+    pairs = pairs.union(queries.mapInPandas(sampled, "query_id long, vec_id long, score double"))
     best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

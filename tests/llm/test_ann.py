@@ -42,3 +42,16 @@ def test_few_candidates_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [0.5, -1.0])], schema)
     assert [tuple(r) for r in A.nearest(df).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
     assert A.nearest(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_every_query_gets_k_rows_where_the_forest_misses(spark):
+    # the sample is the whole table, and few leaves are taken
+    x = np.random.default_rng(9).normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in A.nearest(df, probes=5).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = brute(range(2000), x, 20, 20)
+    assert found.keys() == want.keys()
+    assert all([b for _, b in sorted(found[q])] == [b for b, _ in want[q]] for q in want)
