@@ -44,15 +44,21 @@ def reachable_pairs(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> D
     return hops.union(same).distinct()
 
 
-def simple_paths(edges: DataFrame, start: int, most: int) -> DataFrame:
-    """``(path)``: all simple paths from ``start`` of two to ``most`` vertices, as arrays."""
+def simple_paths(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
+    """``(path)``: all simple paths from ``start`` of two vertices or more, as arrays; ``most`` bounds the vertices.
+
+    Without a bound the loop ends when no path can be extended; rounds are written
+    out like those of ``reach``.
+    """
     edges = edges.select("src", "dst").distinct()
     step = edges.where(F.col("src") == start).where(F.col("dst") != start).select(F.array("src", "dst").alias("path"), F.col("dst").alias("end"))
-    found = step
-    for _ in range(most - 2):
+    step = _cut(step) if most is None else step
+    found, length = step, 2
+    while not step.isEmpty() if most is None else length < most:
         met = step.join(edges, step["end"] == edges["src"]).where(~F.array_contains("path", F.col("dst")))
         step = met.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("end"))
-        found = found.union(step)
+        step = _cut(step) if most is None else step
+        found, length = found.union(step), length + 1
     return found.select("path")
 
 

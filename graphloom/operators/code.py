@@ -205,10 +205,11 @@ def flows_from(flows: DataFrame, graph: str, node: int) -> DataFrame:
     return flows.where((F.col("graph") == graph) & (F.col("src") == node))
 
 
-def control_paths(g: CodeGraph, graph: str, start: int, end: int, most: int = 32) -> DataFrame:
-    """All simple control-flow paths between two nodes of a method, as arrays of ids."""
+def control_paths(g: CodeGraph, graph: str, start: int, end: int, most: int | None = None) -> DataFrame:
+    """All simple control-flow paths between two nodes of a method, as arrays of ids; of up to ``most`` nodes if given."""
     edges = g.cfg_edges.where(F.col("graph") == graph).select("src", "dst")
-    return closure.simple_paths(edges, start, most).where(F.element_at("path", -1) == end)
+    # paths end at their first visit of the end
+    return closure.simple_paths(edges.where(F.col("src") != end), start, most).where(F.element_at("path", -1) == end)
 
 
 def control_subgraph(g: CodeGraph, graph: str, source: int, target: int) -> DataFrame:

@@ -63,3 +63,10 @@ def test_forms_and_routes(spark, tmp_path):
     two.write_text('<struts><package name="default"><action name="a" class="p.C" method="n"/></package></struts>')
     got = sorted((r["action"], r["class"], r["method"]) for r in code.struts_actions(spark, [str(one), str(two)]).collect())
     assert got == [("a", "p.C", "n"), ("x.b", "p.B", None)]
+
+
+def test_paths_of_more_than_32_nodes(spark):
+    body = " ".join(f"a{i}();" for i in range(40))
+    g = CodeGraph(spark.createDataFrame([("/src/Z.java", f"package p; class Z {{ void m() {{ {body} }} }}")], "path string, text string"))
+    assert [r.path for r in code.control_paths(g, "p.Z.m", 1, 41).collect()] == [list(range(1, 42))]
+    assert code.control_paths(g, "p.Z.m", 1, 41, most=40).collect() == []
