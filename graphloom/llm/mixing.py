@@ -5,7 +5,8 @@ quotient target / (2k + 1), k blocks given so far; the sequence of blocks is cut
 into shards, so every shard has integer quotas close to the targets.  A source's
 documents stand in a seeded order of their own; its quota takes whole laps over
 that order and then the first blocks of the next lap, so the blocks a partial
-lap takes are a seeded choice.
+lap takes are a seeded choice.  A source of few blocks takes its target to the
+word instead, for blocks grow with the corpus and may be larger than it.
 
 Only DataFrame functions run.  Positions in a source are sums by (source, cell),
 a cell being a prefix of the seeded hash, plus a running sum inside a cell, so a
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import Stored
 
+#: Blocks below which a source's target is taken to the word: whole blocks would miss it by over half a hundredth.
+FEW_BLOCKS = 100
 #: Hex digits of the seeded hash that name a cell.
 CELL_DIGITS = 3
 
@@ -98,9 +101,10 @@ def mix(
     named = Stored(targets(sizes, weights, share, most), "mix-sources").df
     taken = quotas(named, shards, blocks).groupBy("source").agg(F.sum("quota").alias("quota"))
     block = F.sum("target").over(Window.partitionBy()) / (shards * blocks)
-    s = named.alias("n").join(taken.alias("t"), F.expr("n.source <=> t.source"), "left").select(
+    wanted = F.when(F.col("target") < FEW_BLOCKS * F.col("block"), F.col("target")).otherwise(F.coalesce("quota", F.lit(0)) * F.col("block"))
+    s = named.withColumn("block", block).alias("n").join(taken.alias("t"), F.expr("n.source <=> t.source"), "left").select(
         F.col("n.source").alias("source"), "source_size", "target",
-        F.least(F.round(F.coalesce("quota", F.lit(0)) * block), F.lit(most) * F.col("source_size")).cast("long").alias("words"),
+        F.least(F.round(wanted), F.lit(most) * F.col("source_size")).cast("long").alias("words"),
     )
     in_order = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("source", "cell", F.coalesce(F.sum("cell_size").over(in_order), F.lit(0)).alias("cell_start"))

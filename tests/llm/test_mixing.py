@@ -74,3 +74,11 @@ def test_empty_table(spark):
     assert M.mix(df).collect() == [] and M.mixed_documents(df).collect() == []
     zero = spark.createDataFrame([(1, None, None)], df.schema)
     assert [tuple(r) for r in M.mix(zero).collect()] == [(1, 0, 0, 0.0, 0)]
+
+
+def test_small_source_beside_a_huge_one_reaches_its_target(spark):
+    rows = [(i, "w " * 100_000, "huge") for i in range(20)] + [(90, "one two three four five six seven", "small"), (91, "w " * 300, "two blocks")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.doc_id: (r.taken, r.target) for r in M.mix(df).collect()}
+    assert taken[90] == (14, 14.0) and taken[91] == (600, 600.0)
+    assert [r.doc_id for r in M.mixed_documents(df).collect()].count(90) == 2
