@@ -53,6 +53,14 @@ def nearest_ancestor(nodes: DataFrame, candidates: DataFrame, group: str = "file
     return nodes.join(c, near, "left").groupBy(nodes[group], nodes["id"]).agg(F.max("__a").alias("ancestor"))
 
 
+def first_below(nodes: DataFrame, matches: DataFrame, group: str = "file") -> DataFrame:
+    """Matches below each node that have no other match between: (ancestor id, descendant row)."""
+    below = descendants(nodes, matches, group)
+    m = matches.select(F.col(group).alias("__g"), F.col("id").alias("__id"), F.col("last_id").alias("__last"))
+    closer = (below[group] == m["__g"]) & (m["__id"] > below["ancestor"]) & (m["__id"] < below["id"]) & (below["id"] <= m["__last"])
+    return below.join(m, closer, "left_anti")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
     """``(key, out_degree, in_degree)``, 0 where no edge meets the vertex."""
     o = edges.groupBy(F.col("src").alias(key)).agg(F.count("*").alias("out_degree"))
@@ -74,6 +82,11 @@ def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[Column | str])
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
+def keep_last(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The last row of each key in the given order."""
+    return keep_first(df, by, [F.desc(c) for c in order])
+
+
 def same_graph(left: DataFrame, right: DataFrame) -> bool:
     """Structural equality of two row sets, duplicates counted."""
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 
 
 def _path(df: DataFrame) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-")
+    """A fresh folder under ``spark.checkpoint.dir``; on one machine a temporary one where that is unset."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", df.sparkSession.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="graphloom-")
     return f"{base.rstrip('/')}/closure-{uuid.uuid4().hex}"
 
 
@@ -44,14 +48,29 @@ def reachable_pairs(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> D
     return hops.union(same).distinct()
 
 
-def simple_paths(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
-    """``(path)``: all simple paths from ``start`` of two vertices or more, as arrays; ``most`` bounds the vertices.
+def pruned(edges: DataFrame, starts: DataFrame, stops: DataFrame) -> DataFrame:
+    """``(source, node, hops)``: breadth-first visits from each start, itself at 0 hops, not going on from ``stops``.
+
+    starts and stops: (id).  Every node is visited once for each start, at its least number of hops.
+    """
+    edges = edges.select("src", "dst").distinct().join(stops.select(F.col("id").alias("src")), "src", "left_anti")
+    seen = frontier = _cut(starts.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("hops")).distinct())
+    while not frontier.isEmpty():
+        met = frontier.join(edges, frontier["node"] == edges["src"]).select("source", F.col("dst").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
+        frontier = _cut(met.join(seen, ["source", "node"], "left_anti"))
+        seen = seen.union(frontier)
+    return seen
+
+
+def simple_paths(edges: DataFrame, start: int | DataFrame, most: int | None = None) -> DataFrame:
+    """``(path)``: all simple paths of two vertices or more from ``start`` (an id, or rows (id)), as arrays; ``most`` bounds the vertices.
 
     Without a bound the loop ends when no path can be extended; rounds are written
     out like those of ``reach``.
     """
     edges = edges.select("src", "dst").distinct()
-    step = edges.where(F.col("src") == start).where(F.col("dst") != start).select(F.array("src", "dst").alias("path"), F.col("dst").alias("end"))
+    first = edges.join(start.select(F.col("id").alias("src")).distinct(), "src", "left_semi") if isinstance(start, DataFrame) else edges.where(F.col("src") == start)
+    step = first.where("src != dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("end"))
     step = _cut(step) if most is None else step
     found, length = step, 2
     while not step.isEmpty() if most is None else length < most:
@@ -70,20 +89,23 @@ def subgraph(edges: DataFrame, source: int, target: int) -> DataFrame:
     return inner.join(nodes, inner["src"] == nodes["id"], "left_semi")
 
 
-def reaching_definitions(cfg: DataFrame, facts: DataFrame) -> DataFrame:
+def reaching_definitions(cfg: DataFrame, facts: DataFrame, entered: DataFrame | None = None) -> DataFrame:
     """``(graph, src, dst, var)``: definitions that reach a use.
 
     cfg: (graph, src, dst); facts: (graph, id, defs array, uses array); the entry
     is id 1.  A definition stops at a redefinition, whose own use it still
     reaches; nodes without facts are passed through; a node is not its own
-    target.  A frontier loop over (graph, definition, variable, node).
+    target.  A frontier loop over (graph, definition, variable, node).  Only
+    definitions that the entry reaches count; ``entered`` (graph, id) names them
+    where they are known already.
     """
     cfg = cfg.select("graph", "src", "dst").distinct()
     facts = facts.select("graph", "id", "defs", "uses")
-    entered = reach(
-        cfg.select(F.struct("graph", F.col("src").alias("id")).alias("src"), F.struct("graph", F.col("dst").alias("id")).alias("dst")),
-        facts.where("id = 1").select(F.struct("graph", "id").alias("id")),
-    ).select("node.graph", "node.id").distinct().union(facts.where("id = 1").select("graph", "id"))
+    if entered is None:
+        entered = reach(
+            cfg.select(F.struct("graph", F.col("src").alias("id")).alias("src"), F.struct("graph", F.col("dst").alias("id")).alias("dst")),
+            facts.where("id = 1").select(F.struct("graph", "id").alias("id")),
+        ).select("node.graph", "node.id").distinct().union(facts.where("id = 1").select("graph", "id"))
     starts = facts.join(entered.distinct(), ["graph", "id"], "left_semi").select("graph", F.col("id").alias("def"), F.explode("defs").alias("var"))
     move = lambda f: f.join(cfg, (f["graph"] == cfg["graph"]) & (f["at"] == cfg["src"])).select(f["graph"], "def", "var", F.col("dst").alias("at")).distinct()
     seen = frontier = _cut(move(starts.withColumn("at", F.col("def"))).where("at != def"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar
@@ -42,28 +42,30 @@ def find_callers(calls: DataFrame, method_qn: str) -> DataFrame:
 
 
 def data_flow(g: CodeGraph) -> DataFrame:
-    """``(graph, src, dst, dst_graph, label, kind)``: INTRA and INTER edges on data-flow ids."""
-    graph = F.struct("file", "graph").alias("graph")
-    facts = g.dfg.select(graph, F.col("cfg_id").alias("id"), "defs", "uses", F.col("id").alias("df"))
-    found = closure.reaching_definitions(g.cfg_edges.select(graph, "src", "dst"), facts)
-    ids = facts.select("graph", "id", "df")
-    intra = found.join(ids.select("graph", F.col("id").alias("src"), F.col("df").alias("a")), ["graph", "src"]).join(
-        ids.select("graph", F.col("id").alias("dst"), F.col("df").alias("b")), ["graph", "dst"]
-    ).select(F.col("graph.graph").alias("graph"), F.col("a").alias("src"), F.col("b").alias("dst"), F.col("graph.graph").alias("dst_graph"), F.col("var").alias("label"), F.lit("INTRA").alias("kind"))
+    """``(graph, src, dst, dst_graph, label, kind)``: INTRA and INTER edges on data-flow ids.
+
+    A method's definitions are followed to their uses where it is parsed: methods are small and many.
+    """
+    intra = g.flows.where("kind = 'INTRA'").select("graph", "src", "dst", F.col("graph").alias("dst_graph"), "label", "kind")
     return intra.union(call_edges(g))
 
 
+def self_flows(g: CodeGraph) -> DataFrame:
+    """``(graph, src, label)``: statements that define a variable from itself (``++x``)."""
+    return g.flows.where("kind = 'SELF'").select("graph", "src", "label")
+
+
 def call_edges(g: CodeGraph) -> DataFrame:
     """INTER edges from calls to the entries of the project's methods.
 
-    Receivers of library types have none.  A call without a receiver is of its own class, one with a declared receiver
+    Calls without arguments and receivers of library types have none.  A call without a receiver is of its own class, one with a declared receiver
     type of the class of that simple name (the first by name), ``new T`` of its
     constructors; overloads are matched by name, the first wins.
     """
     classes = g.classes.select("qn", F.col("name").alias("cls"))
     first = algebra.keep_first(classes, ["cls"], ["qn"])
     simple = F.regexp_replace("type", r"\[\]", "")
-    c = g.calls.withColumn("cls", F.when(F.col("type").isNotNull(), scalar.last_segment(simple)))
+    c = g.calls.where("n_args > 0").withColumn("cls", F.when(F.col("type").isNotNull(), scalar.last_segment(simple)))
     by_type = c.where(F.col("cls").isNotNull() & ~scalar.is_builtin(F.col("type"))).join(first, "cls").select("graph", "id", "name", "qn", "cls")
     own = c.where("receiver IS NULL AND type IS NULL").select("graph", "id", "name", F.col("owner").alias("qn"), F.lit(None).cast("string").alias("cls"))
     wanted = by_type.union(own).withColumn("name", F.when(F.col("name") == "<init>", F.col("cls")).otherwise(F.col("name"))).drop("cls")
@@ -125,8 +127,7 @@ def spring_routes(g: CodeGraph) -> DataFrame:
     """``(class, method, route, params)`` of the mapped methods of controllers; quotes are kept."""
     control = g.annotations.where(F.col("graph").isNull() & F.col("name").isin("Controller", "RestController")).select("qn").distinct()
     mapped = g.annotations.where(F.col("graph").isNotNull() & F.col("name").isin(*_ROUTES)).join(control, "qn", "left_semi")
-    # the method's first mapping annotation, in source order as parsed
-    first = mapped.groupBy("qn", "graph").agg(F.first("values").alias("values"))
+    first = mapped.groupBy("qn", "graph").agg(F.min_by("values", "id").alias("values"))
     asked = g.parameters.where(F.exists("annotations", lambda a: a.startswith("RequestParam("))).groupBy("graph").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("id", "name"))), lambda p: p["name"]).alias("params")
     )
@@ -137,20 +138,20 @@ def spring_routes(g: CodeGraph) -> DataFrame:
 
 
 def taint_flows(g: CodeGraph, sources: DataFrame, sinks: DataFrame, flows: DataFrame | None = None) -> DataFrame:
-    """Sources (graph, id) that reach sinks (file, id, vulnerability, checkpoint) over data-flow edges.
+    """Sources, data-flow nodes (graph, id), that reach sinks (file, id, vulnerability, checkpoint) over data-flow edges.
 
     A sink is the data-flow node whose statement is its nearest ancestor; one
     closure from all sources, then an equi-join; the first vulnerability of a
     pair wins.
     """
     flows = data_flow(g) if flows is None else flows
-    placed = sinks.select("file", "id", "vulnerability", "checkpoint").join(flow_node(g, sinks), ["file", "id"]).where("df IS NOT NULL").select(
+    ends = sinks.select("file", "id", "vulnerability", "checkpoint").join(flow_node(g, sinks), ["file", "id"]).where("df IS NOT NULL").select(
         F.struct("graph", F.col("df").alias("id")).alias("sink"), "vulnerability", "checkpoint", F.col("id").alias("seq")
     )
     edges = flows.select(F.struct("graph", F.col("src").alias("id")).alias("src"), F.struct(F.col("dst_graph").alias("graph"), F.col("dst").alias("id")).alias("dst"))
     starts = sources.select(F.struct("graph", "id").alias("id")).distinct()
-    pairs = closure.reachable_pairs(edges, starts, placed.select(F.col("sink").alias("id")).distinct())
-    found = algebra.keep_first(pairs.join(placed, "sink"), ["source", "sink"], ["seq"])
+    pairs = closure.reachable_pairs(edges, starts, ends.select(F.col("sink").alias("id")).distinct())
+    found = algebra.keep_first(pairs.join(ends, "sink"), ["source", "sink"], ["seq"])
     return found.select(
         F.col("source.graph").alias("source_graph"), F.col("source.id").alias("source_id"), F.col("sink.graph").alias("sink_graph"), F.col("sink.id").alias("sink_id"), "vulnerability", "checkpoint"
     )
@@ -158,12 +159,20 @@ def taint_flows(g: CodeGraph, sources: DataFrame, sinks: DataFrame, flows: DataF
 
 def flow_node(g: CodeGraph, nodes: DataFrame) -> DataFrame:
     """``(file, id, graph, df)``: the data-flow node of each syntax node or of its nearest ancestor that has one; null if none has."""
-    df = g.dfg.select("file", "shared_id", "graph", F.col("id").alias("df"))
-    marked = g.ast.join(df, ["file", "shared_id"]).select("file", F.col("id").alias("at"), "last_id", "graph", "df")
+    return _nearest(g, nodes, g.dfg.select("file", "shared_id", "graph", F.col("id").alias("df")), "df")
+
+
+def control_node(g: CodeGraph, nodes: DataFrame) -> DataFrame:
+    """``(file, id, graph, cf)``: likewise the control-flow node."""
+    return _nearest(g, nodes, g.cfg.where("shared_id IS NOT NULL").select("file", "shared_id", "graph", F.col("id").alias("cf")), "cf")
+
+
+def _nearest(g: CodeGraph, nodes: DataFrame, placed: DataFrame, name: str) -> DataFrame:
+    marked = g.ast.join(placed, ["file", "shared_id"]).select("file", F.col("id").alias("at"), "last_id", "graph", name)
     own = nodes.select("file", "id").distinct()
     near = own.alias("s").join(marked.alias("m"), F.expr("s.file = m.file AND s.id >= m.at AND s.id <= m.last_id"), "left")
-    best = near.groupBy("s.file", "s.id").agg(F.max(F.struct("m.at", "m.graph", "m.df")).alias("n"))
-    return best.select("file", "id", "n.graph", "n.df")
+    best = near.groupBy("s.file", "s.id").agg(F.max(F.struct("m.at", "m.graph", f"m.{name}")).alias("n"))
+    return best.select("file", "id", "n.graph", f"n.{name}")
 
 
 def calls(g: CodeGraph, name: str | None = None) -> DataFrame:
@@ -205,6 +214,29 @@ def flows_from(flows: DataFrame, graph: str, node: int) -> DataFrame:
     return flows.where((F.col("graph") == graph) & (F.col("src") == node))
 
 
+def flow_targets(g: CodeGraph, flows: DataFrame, graph: str, node: int, call: str) -> DataFrame:
+    """``(graph, id)``: targets of the data-flow edges that leave a node whose syntax subtree holds the call of a shared id."""
+    ends = flows_from(flows, graph, node).select(F.col("dst_graph").alias("graph"), F.col("dst").alias("id")).distinct()
+    at = g.dfg.select("file", "graph", "id", "shared_id").join(ends, ["graph", "id"])
+    tops = g.ast.select("file", "shared_id", F.col("id").alias("top"), "last_id").join(at, ["file", "shared_id"])
+    found = g.ast.where(F.col("shared_id") == call).select(F.col("file").alias("f"), F.col("id").alias("c"))
+    return tops.join(found, (tops["file"] == found["f"]) & (found["c"] >= tops["top"]) & (found["c"] <= tops["last_id"]), "left_semi").select("graph", "id").distinct()
+
+
+def initial_subgraph(g: CodeGraph, shared_id: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges that control reaches from the node of a shared id, renumbered from 1 in order of ids."""
+    start = g.cfg.where(F.col("shared_id") == shared_id).select("file", "graph", "id")
+    key = F.struct("file", "graph", "id").alias("id")
+    edges = g.cfg_edges.select("file", "graph", F.struct("file", "graph", F.col("src").alias("id")).alias("src"), F.struct("file", "graph", F.col("dst").alias("id")).alias("dst"), "label")
+    seen = closure.reach(edges, start.select(key)).select("node.*").union(start).distinct()
+    order = Window.partitionBy("file", "graph").orderBy("id")
+    number = seen.withColumn("n", F.row_number().over(order))
+    nodes = g.cfg.join(number, ["file", "graph", "id"]).select("graph", F.col("n").alias("id"), "kind", "code", "line")
+    end = lambda c: number.select(key.alias(c), F.col("n").alias(f"{c}_n"))
+    kept = edges.join(end("src"), "src").join(end("dst"), "dst")
+    return nodes, kept.select("graph", F.col("src_n").alias("src"), F.col("dst_n").alias("dst"), "label")
+
+
 def control_paths(g: CodeGraph, graph: str, start: int, end: int, most: int | None = None) -> DataFrame:
     """All simple control-flow paths between two nodes of a method, as arrays of ids; of up to ``most`` nodes if given."""
     edges = g.cfg_edges.where(F.col("graph") == graph).select("src", "dst")
@@ -217,9 +249,31 @@ def control_subgraph(g: CodeGraph, graph: str, source: int, target: int) -> Data
     return closure.subgraph(g.cfg_edges.where(F.col("graph") == graph).select("src", "dst", "label"), source, target)
 
 
+def parameters_named(g: CodeGraph, wanted: DataFrame) -> DataFrame:
+    """``(file, id, line, shared_id, text)``: the VARIABLE nodes of method parameters, the first for each row of (class, method, param).
+
+    ``class`` is a simple or qualified name.
+    """
+    kids = lambda kind: g.ast.where(F.col("kind") == kind)
+    name = lambda as_: _child(g, "NAME").withColumnRenamed("child_code", as_)
+    classes = kids("CLASS").join(name("cls"), ["file", "id"]).select("file", F.col("id").alias("c_id"), "cls")
+    methods = kids("METHOD").join(name("method"), ["file", "id"]).select("file", F.col("id").alias("m_id"), F.col("parent").alias("c_id"), "method")
+    params = kids("PARAMS").select("file", F.col("id").alias("p_id"), F.col("parent").alias("m_id"))
+    own = kids("VARIABLE").join(name("param"), ["file", "id"]).select("file", "id", F.col("parent").alias("p_id"), "line", "shared_id", "param")
+    every = own.join(params, ["file", "p_id"]).join(methods, ["file", "m_id"]).join(classes, ["file", "c_id"])
+    asked = wanted.select(scalar.last_segment(F.col("class")).alias("cls"), "method", "param").distinct()
+    first = algebra.keep_first(every.join(asked, ["cls", "method", "param"]), ["cls", "method", "param"], ["file", "id"])
+    return first.select("file", "id", "line", "shared_id", F.concat(F.lit('Parameter "'), "param", F.lit('" of method "'), "method", F.lit('"')).alias("text"))
+
+
 def spring_sources(g: CodeGraph) -> DataFrame:
-    """Method entries of routes with request parameters."""
-    return spring_routes(g).where(F.size("params") > 0).select("graph", F.lit(1).alias("id"))
+    """The request parameters of routes."""
+    return parameters_named(g, spring_routes(g).select("class", "method", F.explode("params").alias("param")))
+
+
+def placed(g: CodeGraph, nodes: DataFrame) -> DataFrame:
+    """``(graph, id)``: the data-flow nodes of syntax nodes."""
+    return flow_node(g, nodes).where("df IS NOT NULL").select("graph", F.col("df").alias("id")).distinct()
 
 
 def super_classes(g: CodeGraph) -> DataFrame:
@@ -232,11 +286,93 @@ def super_classes(g: CodeGraph) -> DataFrame:
     return direct.union(far).distinct()
 
 
-def struts_sources(g: CodeGraph, fields_of: str = "ActionSupport") -> DataFrame:
-    """Call nodes of the getters of action classes' fields."""
-    actions = super_classes(g).where(F.col("ancestor") == fields_of).select("qn").distinct()
-    getters = g.fields.join(actions, "qn", "left_semi").select(F.concat(F.lit("get"), scalar.capitalise(F.col("name"))).alias("name")).distinct()
-    return algebra.where_exists(_kind(g, "CALL"), getters, ["name"]).select("file", "id", "line", "shared_id", "name")
+def _action_fields(g: CodeGraph, base: str) -> DataFrame:
+    """``(qn, name, accessor)`` of the fields of action classes; accessor is the name without get or set."""
+    actions = super_classes(g).where(F.col("ancestor") == base).select("qn").distinct()
+    return g.fields.join(actions, "qn", "left_semi").select("qn", "name", scalar.capitalise(F.col("name")).alias("accessor"))
+
+
+def _calls_by_class(g: CodeGraph, wanted: DataFrame) -> DataFrame:
+    """CALL nodes named ``name`` below the top-level class ``qn``, for rows of (qn, name)."""
+    package = _kind(g, "PACKAGE").select("file", F.col("code").alias("package"))
+    classes = _kind(g, "CLASS").join(_child(g, "NAME"), ["file", "id"]).where("depth = 1").join(package, "file")
+    at = classes.select("file", F.concat_ws(".", "package", "child_code").alias("qn"), F.col("id").alias("c_id"), F.col("last_id").alias("c_last"))
+    calls = _kind(g, "CALL").select("file", "id", "line", "shared_id", "name", "args")
+    met = calls.join(at.join(wanted, "qn").withColumnRenamed("name", "wanted"), "file")
+    return met.where("id > c_id AND id <= c_last AND name = wanted").select("file", "id", "line", "shared_id", "name", "args")
+
+
+def struts_sources(g: CodeGraph, base: str = "ActionSupport") -> DataFrame:
+    """``(file, id, line, shared_id, text)``: getter calls in action classes, and their fields' names as arguments; each node once."""
+    fields = _action_fields(g, base)
+    getters = _calls_by_class(g, fields.select("qn", F.concat(F.lit("get"), "accessor").alias("name")))
+    called = getters.select("file", "id", "line", "shared_id", F.concat(F.lit('Call of method "'), "name", F.lit('"')).alias("text"), F.lit(0).alias("seq"))
+    names = fields.select(F.col("name").alias("code")).distinct()
+    params = algebra.where_exists(g.ast.join(names, "code"), _kind(g, "PARAMS").select("file", F.col("id").alias("parent")), ["file", "parent"])
+    passed = params.select("file", "id", "line", "shared_id", F.concat(F.lit('Parameter "'), "code", F.lit('"')).alias("text"), F.lit(1).alias("seq"))
+    return _once(called.union(passed))
+
+
+def _once(nodes: DataFrame) -> DataFrame:
+    """The first row of each syntax node."""
+    return algebra.keep_first(nodes, ["file", "shared_id"], ["seq", "id"]).drop("seq")
+
+
+def sources(g: CodeGraph, framework: str) -> DataFrame:
+    """Taint sources of a web framework, ``Struts2`` or ``SpringMVC``, as syntax nodes."""
+    if framework == "Struts2":
+        return struts_sources(g)
+    if framework == "SpringMVC":
+        return _once(spring_sources(g).withColumn("seq", F.lit(0)))
+    raise ValueError(f"no sources are known for {framework}")
+
+
+def sinks(g: CodeGraph, framework: str, base: str = "ActionSupport", assigned_name: str = "products") -> DataFrame:
+    """``(file, id, line, shared_id, sink_text, vulnerability, checkpoint)``: taint sinks, each syntax node once.
+
+    Struts2: queries made, setters called in action classes, assignments to ``assigned_name`` if there
+    is such a class with a field, saves and commands; SpringMVC: queries run.
+    """
+    columns = ["file", "id", "line", "shared_id", "sink_text", "vulnerability", "checkpoint"]
+    if framework == "SpringMVC":
+        return _once(execute_query(g).select(*columns, F.lit(0).alias("seq")))
+    if framework != "Struts2":
+        raise ValueError(f"no sinks are known for {framework}")
+    fields = _action_fields(g, base)
+    setters = _calls_by_class(g, fields.select("qn", F.concat(F.lit("set"), "accessor").alias("name")))
+    text = F.concat(F.lit('Call of method "'), "name", F.lit('"')).alias("sink_text")
+    found = create_query(g).select(*columns, F.lit(0).alias("seq")).union(
+        setters.select("file", "id", "line", "shared_id", text, F.lit("XSS").alias("vulnerability"), F.get("args", F.lit(0)).alias("checkpoint"), F.lit(1).alias("seq"))
+    )
+    any_field = fields.select(F.lit(1).alias("one")).limit(1)
+    left = assigned(g, assigned_name).join(g.ast.select("file", "id", "line", "shared_id"), ["file", "id"]).join(F.broadcast(any_field))
+    found = found.union(left.select("file", "id", "line", "shared_id", F.lit(f'Variable "{assigned_name}" assignment').alias("sink_text"), "vulnerability", "checkpoint", F.lit(2).alias("seq")))
+    for k, more in enumerate((save_calls(g), exec_calls(g)), 3):
+        found = found.union(more.select(*columns, F.lit(k).alias("seq")))
+    return _once(found)
+
+
+def login_names(g: CodeGraph, name: str = "getLogin") -> DataFrame:
+    """NAME nodes of the calls of a name."""
+    names = _kind(g, "NAME").where(F.col("code") == name)
+    return algebra.where_exists(names, _kind(g, "CALL").select("file", F.col("id").alias("parent")), ["file", "parent"]).select("file", "id", "line", "shared_id")
+
+
+def method_names(g: CodeGraph) -> DataFrame:
+    """``(file, name)`` of every METHOD node."""
+    return _kind(g, "METHOD").select("file", "id").join(_child(g, "NAME"), ["file", "id"]).select("file", F.col("child_code").alias("name"))
+
+
+def tag_attributes(pages: DataFrame, id_col: str, text_col: str, tag: str, attribute: str) -> DataFrame:
+    """``(id, value)`` of an attribute, in double quotes or single ones, of every tag of a name that has it."""
+    values = F.regexp_extract_all(text_col, F.lit(rf"""(?is)<{tag}\b[^>]*?\b{attribute}=["']([^"']*)["']"""), F.lit(1))
+    return pages.select(id_col, F.explode(values).alias("value"))
+
+
+def views(spark, folder: str, suffix: str) -> DataFrame:
+    """``(path, text)`` of every file of a suffix below a folder."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=f"*{suffix}", recursiveFileLookup=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def html_forms(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -255,15 +391,26 @@ def jsp_forms(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select(id_col, "k", F.regexp_extract("form", r'(?s)^<s:form\b[^>]*?\baction="([^"]*)"', 1).alias("action"), F.concat(*names).alias("names"))
 
 
-def struts_actions(spark, paths: list[str]) -> DataFrame:
-    """``(action, class, method)`` of route files, later files win; plain names in package ``default``."""
+def struts_actions(spark, paths: str | list[str]) -> DataFrame:
+    """``(action, class, method)`` of route files and of the files they include; later files win.
+
+    A plain name is of package ``default``.  An included file is looked up as it is named and else beside the
+    including file; its own includes are not followed.
+    """
     schema = "_name string, action array<struct<_name string, _class string, _method string>>"
-    out = None
-    for k, path in enumerate(paths):
-        one = spark.read.format("xml").option("rowTag", "package").schema(schema).load(path)
-        a = one.select(F.col("_name").alias("package"), F.explode("action").alias("a")).select(
-            F.when(F.col("package") == "default", F.col("a._name")).otherwise(F.concat_ws(".", "package", "a._name")).alias("action"),
-            F.col("a._class").alias("class"), F.col("a._method").alias("method"), F.lit(k).alias("k"),
-        )
-        out = a if out is None else out.union(a)
-    return algebra.keep_first(out, ["action"], [F.desc("k")]).drop("k")
+    read = lambda path, tag, of: spark.read.format("xml").option("rowTag", tag).schema(of).load(path)
+    out, k = None, 0
+    for path in [paths] if isinstance(paths, str) else paths:
+        included = [r[0] for r in read(path, "include", "_file string").collect() if r[0]]  # a few names
+        for each in [path, *(f if _exists(spark, f) else f"{path.rpartition('/')[0]}/{f}" for f in included)]:
+            a = read(each, "package", schema).select(F.col("_name").alias("package"), F.posexplode("action").alias("pos", "a")).select(
+                F.when(F.col("package") == "default", F.col("a._name")).otherwise(F.concat_ws(".", "package", "a._name")).alias("action"),
+                F.col("a._class").alias("class"), F.col("a._method").alias("method"), F.lit(k).alias("k"), "pos",
+            )
+            out, k = a if out is None else out.union(a), k + 1
+    return algebra.keep_last(out, ["action"], ["k", "pos"]).drop("k", "pos")
+
+
+def _exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

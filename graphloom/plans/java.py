@@ -41,21 +41,21 @@ def java_ast(spark, d):
 
 
 def java_cfg_nodes(spark, d):
-    return graph(spark).cfg.where("graph IN ('p.A.f', 'p.D.m', 'p.E.m', 'p.F.m', 'p.G.m')").select("graph", "id", "kind")
+    return graph(spark).cfg.select("graph", "id", "kind")
 
 
 def java_cfg_edges(spark, d):
-    return graph(spark).cfg_edges.where("graph IN ('p.A.f', 'p.D.m', 'p.E.m', 'p.F.m', 'p.G.m')").select("graph", "src", "dst", "label")
+    return graph(spark).cfg_edges.select("graph", "src", "dst", "label")
 
 
 def java_def_use(spark, d):
-    g = graph(spark).dfg.where("graph IN ('p.A.f', 'p.B.g', 'p.D.m')")
+    g = graph(spark).dfg
     return g.select("graph", "id", "code", F.array_join("defs", ",").alias("defs"), F.array_join("uses", ",").alias("uses"))
 
 
 def java_data_flow(spark, d):
     found = code.data_flow(graph(spark))
-    return found.where("graph IN ('p.A.f', 'p.B.g', 'p.C.u', 'p.D.m', 'p.H.m', 'p.L.m')").select("graph", "src", "dst", "dst_graph", "label", "kind")
+    return found.select("graph", "src", "dst", "dst_graph", "label", "kind")
 
 
 def java_call_graph(spark, d):
@@ -74,7 +74,7 @@ def java_routes(spark, d):
 
 def java_taint(spark, d):
     g = graph(spark)
-    return code.taint_flows(g, code.spring_sources(g), code.execute_query(g))
+    return code.taint_flows(g, code.placed(g, code.sources(g, "SpringMVC")), code.sinks(g, "SpringMVC"))
 
 
 def java_classes(spark, d):
@@ -82,7 +82,7 @@ def java_classes(spark, d):
 
 
 def java_methods(spark, d):
-    return graph(spark).methods.where("qn IN ('p.B', 'p.X')").select("graph", "name", "ret_type", F.array_join("args", ",").alias("args"))
+    return graph(spark).methods.select("graph", "name", "ret_type", F.array_join("args", ",").alias("args"))
 
 
 def java_super_classes(spark, d):
@@ -94,7 +94,7 @@ def java_assigned(spark, d):
 
 
 def java_dotted_calls(spark, d):
-    return code.calls(graph(spark)).where("file IN ('p.B', 'p.H', 'p.K')").select("file", "dotted", F.array_join("args", ",").alias("args"))
+    return code.calls(graph(spark)).select("file", "dotted", F.array_join("args", ",").alias("args"))
 
 
 def java_flow_node(spark, d):
@@ -136,10 +136,6 @@ def java_dot(spark, d):
     return dot_text(g.cfg.where(only), g.cfg_edges.where(only), "graph")
 
 
-def java_struts_sources(spark, d):
-    return code.struts_sources(graph(spark)).select("file", "line", "name")
-
-
 def java_method_calls(spark, d):
     return code.method_calls(graph(spark), "p", "F", "c").select("file", "line")
 
@@ -165,7 +161,7 @@ def java_returns(spark, d):
 
 
 def java_parameters(spark, d):
-    return graph(spark).parameters.where("qn IN ('p.B', 'p.C')").select("graph", "id", "name", "type")
+    return graph(spark).parameters.select("graph", "id", "name", "type")
 
 
 def d04_usable(spark, d):
@@ -188,7 +184,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         java_ast, java_cfg_nodes, java_cfg_edges, java_def_use, java_data_flow, java_call_graph, java_sinks, java_routes, java_taint,
         java_classes, java_methods, java_super_classes, java_assigned,
-        java_dotted_calls, java_flow_node, java_first_call, java_paths, java_subgraph, java_callers, java_fields, java_node, java_dot, java_struts_sources,
+        java_dotted_calls, java_flow_node, java_first_call, java_paths, java_subgraph, java_callers, java_fields, java_node, java_dot,
         java_method_calls, java_arguments, java_get_method, java_class_by_name, java_graphs_of_file, java_returns, java_parameters, d04_usable, d20_builtin, h08_infix,
     )
 }
@@ -225,6 +221,9 @@ SQL: dict[str, str] = {
         *_numbered("p.E.m", "ENTRY ASSIGN FOR_INIT FOR_EXPR FOR_UPDATE FOR_END EXPR RET"),
         *_numbered("p.F.m", "ENTRY TRY TRY_END EXPR FINALLY EXPR FINALLY_END CATCH_END CATCH EXPR"),
         *_numbered("p.G.m", "ENTRY SWITCH SWITCH_END CASE_STMT EXPR BREAK CASE_STMT EXPR CASE_STMT EXPR"),
+        *_numbered("p.B.g", "ENTRY EXPR EXPR"), *_numbered("p.C.u", "ENTRY ASSIGN EXPR RET"), *_numbered("p.H.m", "ENTRY EXPR"), *_numbered("p.K.m", "ENTRY EXPR EXPR"),
+        *_numbered("p.L.m", "ENTRY EXPR EXPR EXPR"), *_numbered("p.X.f#2", "ENTRY EXPR"),
+        *[(m, 1, "ENTRY") for m in ("p.B.h", "p.F.a", "p.F.b", "p.F.c", "p.G.a", "p.G.b", "p.G.c", "p.Helper.run", "p.Run.Run", "p.Run.go", "p.List.add", "p.X.f")],
     ),
     "java_cfg_edges": _values(
         "graph, src, dst, label",
@@ -233,12 +232,24 @@ SQL: dict[str, str] = {
         *_listed("p.E.m", "1-EPS-2 2-EPS-3 3-EPS-4 4-FALSE-6 4-TRUE-7 7-EPS-5 5-EPS-4 6-EPS-8"),
         *_listed("p.F.m", "1-EPS-2 2-EPS-4 4-EPS-3 3-EPS-5 5-EPS-6 6-EPS-7 3-THROWS-9 9-EPS-10 10-EPS-8 8-EPS-5"),
         *_listed("p.G.m", "1-EPS-2 2-EPS-4 4-TRUE-5 5-EPS-6 6-EPS-3 4-FALSE-7 7-TRUE-8 8-EPS-9 7-FALSE-9 9-EPS-10 10-EPS-3"),
+        *_listed("p.B.g", "1-EPS-2 2-EPS-3"), *_listed("p.C.u", "1-EPS-2 2-EPS-3 3-EPS-4"), *_listed("p.H.m", "1-EPS-2"), *_listed("p.K.m", "1-EPS-2 2-EPS-3"),
+        *_listed("p.L.m", "1-EPS-2 2-EPS-3 3-EPS-4"), *_listed("p.X.f#2", "1-EPS-2"),
     ),
     "java_def_use": _values(
         "graph, id, code, defs, uses",
         ("p.A.f", 1, "int f(int x)", "x", ""), ("p.A.f", 2, "y = x + 1", "y", "x"), ("p.A.f", 3, "if (y > 0)", "", "y"), ("p.A.f", 4, "y = 2;", "y", ""), ("p.A.f", 5, "return y;", "", "y"),
         ("p.B.g", 1, "void g(Session s, String q)", "q,s", ""), ("p.B.g", 2, "s.createQuery(q);", "", "q,s"), ("p.B.g", 3, "h(q);", "", "q"),
         ("p.D.m", 1, "void m(int n)", "n", ""), ("p.D.m", 2, "while (n > 0)", "", "n"), ("p.D.m", 3, "if (n == 5)", "", "n"), ("p.D.m", 4, "n--;", "n", "n"),
+        ("p.B.h", 1, "void h(String z)", "z", ""), ("p.C.u", 1, "String u(@RequestParam String id)", "id", ""), ("p.C.u", 2, 'q = "a" + id', "q", "id"), ("p.C.u", 3, "st.executeQuery(q);", "", "q"), ("p.C.u", 4, "return q;", "", "q"),
+        ("p.E.m", 1, "int m(int n)", "n", ""), ("p.E.m", 2, "s = 0", "s", ""), ("p.E.m", 3, "int i = 0", "i", ""), ("p.E.m", 4, "i < n", "", "i,n"), ("p.E.m", 5, "i++", "i", "i"), ("p.E.m", 6, "s = s + i;", "s", "i,s"), ("p.E.m", 7, "return s;", "", "s"),
+        ("p.F.m", 1, "void m()", "", ""), ("p.F.m", 2, "a();", "", ""), ("p.F.m", 3, "c();", "", ""), ("p.F.m", 4, "catch (E e)", "e", ""), ("p.F.m", 5, "b();", "", ""),
+        ("p.G.m", 1, "void m(int k)", "k", ""), ("p.G.m", 2, "switch (k)", "", "k"), ("p.G.m", 3, "a();", "", ""), ("p.G.m", 4, "b();", "", ""), ("p.G.m", 5, "c();", "", ""),
+        *[(f"p.{c}.{m}", 1, f"void {m}()", "", "") for c in "FG" for m in "abc"],
+        ("p.H.m", 1, "void m(String a)", "a", ""), ("p.H.m", 2, "h.run(a);", "", "a,h"), ("p.Helper.run", 1, "void run(String b)", "b", ""),
+        ("p.K.m", 1, "void m(U u)", "u", ""), ("p.K.m", 2, "u.a.b(1);", "", "u"), ("p.K.m", 3, "c();", "", ""),
+        ("p.L.m", 1, "void m(List<String> l, String a)", "a,l", ""), ("p.L.m", 2, "l.add(a);", "l", "a,l"), ("p.L.m", 3, "r.go();", "", "r"), ("p.L.m", 4, "new Run(a);", "", "a"),
+        ("p.Run.Run", 1, "Run(String s)", "s", ""), ("p.Run.go", 1, "void go()", "", ""), ("p.List.add", 1, "void add(String x)", "x", ""),
+        ("p.X.f", 1, "void f(int a)", "a", ""), ("p.X.f#2", 1, "void f(String b)", "b", ""), ("p.X.f#2", 2, "products = getTitle();", "", ""),
     ),
     "java_data_flow": _values(
         "graph, src, dst, dst_graph, label, kind",
@@ -250,7 +261,10 @@ SQL: dict[str, str] = {
         ("p.H.m", 1, 2, "p.H.m", "a", "INTRA"), ("p.H.m", 2, 1, "p.Helper.run", "inter-procedural", "INTER"),
         # l.add defines l and has no edge to the project's class List
         ("p.L.m", 1, 2, "p.L.m", "l", "INTRA"), ("p.L.m", 1, 2, "p.L.m", "a", "INTRA"), ("p.L.m", 1, 4, "p.L.m", "a", "INTRA"),
-        ("p.L.m", 3, 1, "p.Run.go", "inter-procedural", "INTER"), ("p.L.m", 4, 1, "p.Run.Run", "inter-procedural", "INTER"),
+        # a call without arguments has none either
+        ("p.L.m", 4, 1, "p.Run.Run", "inter-procedural", "INTER"),
+        *[("p.E.m", a, b, "p.E.m", v, "INTRA") for a, b, v in ((1, 4, "n"), (2, 6, "s"), (2, 7, "s"), (3, 4, "i"), (3, 5, "i"), (3, 6, "i"), (5, 4, "i"), (5, 6, "i"), (6, 7, "s"))],
+        ("p.G.m", 1, 2, "p.G.m", "k", "INTRA"), ("p.K.m", 1, 2, "p.K.m", "u", "INTRA"),
     ),
     "java_call_graph": _values(
         "method_qn, callees", ("p.B.g", "createQuery,h"), ("p.C.u", "executeQuery"), ("p.F.m", "a,b,c"), ("p.G.m", "a,b,c"), ("p.H.m", "run"), ("p.K.m", "b,c"), ("p.L.m", "add,go"), ("p.X.f", "getTitle"),
@@ -259,9 +273,14 @@ SQL: dict[str, str] = {
     "java_routes": _values("class, method, route, params", ("p.C", "u", '"/u"', "id")),
     "java_taint": _values("source_graph, source_id, sink_graph, sink_id, vulnerability, checkpoint", ("p.C.u", 1, "p.C.u", 3, "SQL", "q")),
     "java_classes": _values("qn, name, extends", *[(f"p.{n}", n, {"X": "Base", "Base": "ActionSupport"}.get(n)) for n in ("A", "B", "C", "D", "E", "F", "G", "H", "Helper", "K", "L", "Run", "List", "X", "Base")]),
-    "java_methods": _values("graph, name, ret_type, args", ("p.B.g", "g", "void", "s,q"), ("p.B.h", "h", "void", "z"), ("p.X.f", "f", "void", "a"), ("p.X.f#2", "f", "void", "b")),
+    "java_methods": _values(
+        "graph, name, ret_type, args", ("p.A.f", "f", "int", "x"), ("p.B.g", "g", "void", "s,q"), ("p.B.h", "h", "void", "z"), ("p.C.u", "u", "String", "id"), ("p.D.m", "m", "void", "n"), ("p.E.m", "m", "int", "n"),
+        ("p.F.m", "m", "void", ""), ("p.G.m", "m", "void", "k"), *[(f"p.{c}.{m}", m, "void", "") for c in "FG" for m in "abc"], ("p.H.m", "m", "void", "a"), ("p.Helper.run", "run", "void", "b"),
+        ("p.K.m", "m", "void", "u"), ("p.L.m", "m", "void", "l,a"), ("p.Run.Run", "Run", None, "s"), ("p.Run.go", "go", "void", ""), ("p.List.add", "add", "void", "x"), ("p.X.f", "f", "void", "a"), ("p.X.f#2", "f", "void", "b"),
+    ),
     "java_super_classes": _values("qn, ancestor", ("p.X", "Base"), ("p.X", "ActionSupport"), ("p.Base", "ActionSupport")),
-    "java_dotted_calls": _values("file, dotted, args", ("p.B", "s.createQuery", "q"), ("p.B", "h", "q"), ("p.H", "h.run", "a"), ("p.K", "u.a.b", "1"), ("p.K", "c", "")),
+    "java_dotted_calls": _values("file, dotted, args", ("p.B", "s.createQuery", "q"), ("p.B", "h", "q"), ("p.H", "h.run", "a"), ("p.K", "u.a.b", "1"), ("p.K", "c", ""),
+        ("p.C", "st.executeQuery", "q"), *[(f"p.{c}", m, "") for c in "FG" for m in "abc"], ("p.L", "l.add", "a"), ("p.L", "r.go", ""), ("p.X", "getTitle", "")),
     "java_flow_node": _values("id, graph, df", (2, None, None), (21, "p.A.f", 2), (26, "p.A.f", 3), (33, "p.A.f", 4)),
     "java_first_call": _values("file, id, call", ("p.A", 6, None), ("p.B", 6, "h"), ("p.B", 30, None), ("p.K", 6, "c")),
     "java_paths": _values("path", ("1>2>3",), ("1>2>4>5>3",)),
@@ -271,14 +290,15 @@ SQL: dict[str, str] = {
     "java_node": _values("kind, line, code", ("IF", 2, "if (y > 0)")),
     "java_dot": "SELECT 'p.A.f' AS graph, concat_ws(chr(10), 'digraph {', '1 [label=\"int f(int x)\"];', '2 [label=\"int y = x + 1;\"];', '3 [label=\"if (y &gt; 0)\"];', '4 [label=\"y = 2;\"];', '5 [label=\"endif\"];', '6 [label=\"return y;\"];', "
     + "'1 -> 2 [label=\"EPS\"];', '2 -> 3 [label=\"EPS\"];', '3 -> 4 [label=\"TRUE\"];', '3 -> 5 [label=\"FALSE\"];', '4 -> 5 [label=\"EPS\"];', '5 -> 6 [label=\"EPS\"];', '}') AS dot",
-    "java_struts_sources": _values("file, line, name", ("p.X", 1, "getTitle")),
     "java_method_calls": _values("file, line", ("p.F", 1)),
     "java_arguments": _values("file, line", ("p.B", 2), ("p.B", 2), ("p.C", 5)),
     "java_get_method": _values("graph, args", ("p.X.f", "a")),
     "java_class_by_name": _values("qn, file", ("p.Helper", "p.H")),
     "java_graphs_of_file": _values("graph, nodes", ("p.F.m", 10), ("p.F.a", 1), ("p.F.b", 1), ("p.F.c", 1)),
     "java_returns": _values("file, line", ("p.A", 2), ("p.C", 5), ("p.E", 1)),
-    "java_parameters": _values("graph, id, name, type", ("p.B.g", 1, "s", "Session"), ("p.B.g", 2, "q", "String"), ("p.B.h", 1, "z", "String"), ("p.C.u", 1, "id", "String")),
+    "java_parameters": _values("graph, id, name, type", ("p.B.g", 1, "s", "Session"), ("p.B.g", 2, "q", "String"), ("p.B.h", 1, "z", "String"), ("p.C.u", 1, "id", "String"),
+        ("p.A.f", 1, "x", "int"), ("p.D.m", 1, "n", "int"), ("p.E.m", 1, "n", "int"), ("p.G.m", 1, "k", "int"), ("p.H.m", 1, "a", "String"), ("p.Helper.run", 1, "b", "String"), ("p.K.m", 1, "u", "U"),
+        ("p.L.m", 1, "l", "List<String>"), ("p.L.m", 2, "a", "String"), ("p.Run.Run", 1, "s", "String"), ("p.List.add", 1, "x", "String"), ("p.X.f", 1, "a", "int"), ("p.X.f#2", 1, "b", "String")),
     "d04_usable": _values("e", ("x",), ("a.b",)),
     "d20_builtin": _values("t", ("List<String>",), ("Map.Entry",), ("Integer[]",)),
     "h08_infix": _values("k, infix", (1, "(a+b)"), (2, "((a+b)*c)"), (3, "x")),

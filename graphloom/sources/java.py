@@ -80,7 +80,12 @@ class CodeGraph:
 
     @property
     def calls(self) -> DataFrame:
-        return self._view("calls", "file", "graph", F.col("src").alias("id"), "name", F.col("code").alias("receiver"), "type", "owner")
+        return self._view("calls", "file", "graph", F.col("src").alias("id"), "name", F.col("code").alias("receiver"), "type", "owner", F.col("depth").alias("n_args"))
+
+    @property
+    def flows(self) -> DataFrame:
+        """Edges between the data-flow nodes of one method: definitions that reach uses, and self flows."""
+        return self._view("flow", "file", "graph", "src", "dst", "label", F.col("type").alias("kind"))
 
     @property
     def classes(self) -> DataFrame:
@@ -103,7 +108,7 @@ class CodeGraph:
 
     @property
     def annotations(self) -> DataFrame:
-        return self._view("annotation", F.col("owner").alias("qn"), "graph", "name", "values")
+        return self._view("annotation", F.col("owner").alias("qn"), "graph", "id", "name", "values")
 
     @property
     def errors(self) -> DataFrame:

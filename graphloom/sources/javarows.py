@@ -38,8 +38,8 @@ _STATE = re.compile("set|put|add|insert|push|append", re.I)
 class Source:
     """Text and ids of syntax nodes."""
 
-    def __init__(self, parser: Parser, file: str):
-        self.p, self.file = parser, file
+    def __init__(self, parser: Parser, file: str, compat: bool = False):
+        self.p, self.file, self.compat = parser, file, compat
 
     def span(self, a: int, b: int) -> str:
         return self.p.text[self.p.toks[a].start : self.p.toks[b].stop + 1] if b >= a else ""
@@ -288,7 +288,8 @@ class Tree:
         elif k in ("postfix", "unary"):
             self.expr(add(parent, "UNARY", n.op, n), n.expr)
         elif k == "binary":
-            at = add(parent, "BOP", n.op, n)
+            shift = n.op in ("<<", ">>", ">>>") and self.s.compat
+            at = add(parent, "BOP", n.op[0] if shift else n.op, n)
             self.expr(at, n.left)
             self.expr(at, n.right)
         elif k == "instanceof":
@@ -298,7 +299,7 @@ class Tree:
         elif k == "ternary":
             at = add(parent, "TERNARY", "", n)
             for kind, e in (("TERNARY_PREDICATE", n.cond), ("TERNARY_TRUE", n.then), ("TERNARY_FALSE", n.other)):
-                self.expr(add(at, kind, "", e), e)
+                self.expr(add(parent if self.s.compat else at, kind, "", e), e)
         elif k == "assign":
             at = add(parent, "ASSIGN", "", n, text=self.s.text(n.right))
             self.expr(add(at, "ASSIGN_LEFT", "", n.left), n.left)
@@ -319,7 +320,8 @@ class Facts:
         self.s, self.scope = s, scope
         self.defs: set[str] = set()
         self.uses: set[str] = set()
-        self.calls: list[tuple[str, str | None, str | None]] = []  # method, receiver, its declared type
+        self.calls: list[tuple[str, str | None, str | None, int]] = []  # method, receiver, its declared type, arguments
+        self.self_flows: set[str] = set()
 
     def use(self, name: str | None) -> None:
         if name in self.scope:
@@ -371,15 +373,18 @@ class Facts:
             name = self.assigned(n.left)
             if name in self.scope:
                 self.defs.add(name)
-                if n.op != "=":
+                if n.op != "=" or self.s.compat:
                     self.uses.add(name)
             elif name is None:
                 self.visit(n.left)
             self.visit(n.right)
         elif k in ("postfix", "unary"):
             self.visit(n.expr)
-            if n.op in ("++", "--") and (name := self.assigned(n.expr)) in self.scope:
+            silent = k == "unary" and self.s.compat
+            if n.op in ("++", "--") and not silent and (name := self.assigned(n.expr)) in self.scope:
                 self.defs.add(name)
+                if k == "unary":
+                    self.self_flows.add(name)
         elif k in ("paren", "cast"):
             self.visit(n.expr)
         elif k in ("binary", "array"):
@@ -389,7 +394,7 @@ class Facts:
         elif k == "ternary":
             self.visit(n.cond).visit(n.then).visit(n.other)
         elif k == "new":
-            self.calls.append(("<init>", None, self.s.joined(n.type).split("<")[0]))
+            self.calls.append(("<init>", None, self.s.joined(n.type).split("<")[0], len(n.args)))
             for a in n.args:
                 self.visit(a)
         elif k in ("new_array", "array_init", "expressions"):
@@ -400,12 +405,12 @@ class Facts:
         return self
 
     def call(self, n: N, receiver: str | None, kind: str | None) -> None:
-        self.calls.append((n.name, receiver, kind.split("<")[0] if kind else None))
+        self.calls.append((n.name, receiver, kind.split("<")[0] if kind else None, len(n.args)))
         for a in n.args:
             self.visit(a)
 
 
-# -- control flow
+# -- control flow; its marker texts ("endif", "end-try", "finally" and the like) are fixed values
 class Flow:
     """The control-flow graph of one method, with facts on its nodes.
 
@@ -419,6 +424,7 @@ class Flow:
         self.edges: dict[tuple[int, int, str], None] = {}
         self.calls: list[dict] = []
         self.dangling: list[tuple[int, str]] = []
+        self.flows: list[dict] = []
         self.loops: list[tuple[int, int]] = []
         self.breaks: list[int] = []
         self.labels: dict[str, tuple[int, int]] = {}
@@ -450,14 +456,16 @@ class Flow:
         self.fact_count += 1
         row = self.nodes[at - 1]
         self.nodes[at - 1] = row | {"defs": sorted(defs), "uses": sorted(uses), "text": code, "depth": self.fact_count}
-        for name, receiver, kind in calls:
-            self.calls.append(_BLANK | {"rel": "calls", "file": self.s.file, "graph": self.graph, "src": self.fact_count, "name": name, "owner": self.owner, "code": receiver, "type": kind})
+        for name, receiver, kind, args in calls:
+            self.calls.append(_BLANK | {"rel": "calls", "file": self.s.file, "graph": self.graph, "src": self.fact_count, "name": name, "owner": self.owner, "code": receiver, "type": kind, "depth": args})
 
     def facts(self, at: int, code: str, *parts: N | None, defs: tuple[str, ...] = ()) -> None:
         f = Facts(self.s, self.scope)
         for p in parts:
             f.visit(p)
         self.fact(at, code, f.defs | set(defs), f.uses, f.calls)
+        for name in sorted(f.self_flows):
+            self.flow(self.fact_count, self.fact_count, name, "SELF")
 
     def method(self, m: N) -> None:
         kind = self.s.joined(m.type) + " " if m.kind == "method" else ""
@@ -683,7 +691,35 @@ class Flow:
             self.edge(caught, final or end)
         self.dangling, self.scope = after, outer
 
+    def flow(self, src: int, dst: int, name: str, kind: str) -> None:
+        self.flows.append(_BLANK | {"rel": "flow", "file": self.s.file, "graph": self.graph, "src": src, "dst": dst, "label": name, "type": kind})
+
+    def reach(self) -> None:
+        """Flows from each definition that the entry reaches to its uses, up to the next definitions."""
+        after: dict[int, list[int]] = {}
+        for a, b, _ in self.edges:
+            after.setdefault(a, []).append(b)
+
+        def walk(start: int, ends) -> list[int]:
+            seen, todo = set(), list(after.get(start, ()))
+            while todo:
+                n = todo.pop()
+                if n not in seen:
+                    seen.add(n)
+                    if not ends(n):
+                        todo += after.get(n, ())
+            return sorted(seen - {start})
+
+        at = {r["id"]: r for r in self.nodes if r["defs"] is not None}
+        for d in [1, *walk(1, lambda n: False)] if self.nodes else []:
+            for name in at[d]["defs"] if d in at else []:
+                for n in walk(d, lambda n: n == d or n in at and name in at[n]["defs"]):  # noqa: B023
+                    if n in at and name in at[n]["uses"]:
+                        self.flow(at[d]["depth"], at[n]["depth"], name, "INTRA")
+
     def rows(self) -> Iterator[dict]:
+        self.reach()
+        yield from self.flows
         yield from self.nodes
         for a, b, label in self.edges:
             yield _BLANK | {"rel": "cfg_edge", "file": self.s.file, "graph": self.graph, "src": a, "dst": b, "label": label}
@@ -700,7 +736,7 @@ def java_rows(path: str, text: str, compat: bool = False) -> Iterator[dict]:
         return
     package = unit.package.name if unit.package else None
     file = f"{package}.{base}"
-    s = Source(parser, file)
+    s = Source(parser, file, compat)
     yield from Tree(s).build(unit)
     for t in unit.types:
         yield from _class_rows(s, t, package, t.name, compat)
@@ -738,13 +774,13 @@ def _class_rows(s: Source, t: N, package: str | None, name: str, compat: bool) -
                 }
                 for k, a in enumerate(m.args):
                     yield _BLANK | {"rel": "parameter", "file": s.file, "owner": qn, "graph": graph, "id": k + 1, "name": a.name, "type": s.joined(a.type), "uses": _notes(s, a.annotations)}
-                for a in m.annotations or []:
-                    yield _BLANK | {"rel": "annotation", "file": s.file, "owner": qn, "graph": graph, "name": a.name, "values": [s.text(v) for v in a.values]}
+                for k, a in enumerate(m.annotations or []):
+                    yield _BLANK | {"rel": "annotation", "file": s.file, "owner": qn, "graph": graph, "id": k, "name": a.name, "values": [s.text(v) for v in a.values]}
             if m.body:
                 flow = Flow(s, graph, qn, fields, compat)
                 flow.method(m)
                 yield from flow.rows()
         elif m.kind in ("class", "interface", "enum"):
             yield from _class_rows(s, m, package, f"{name}.{m.name}", compat)
-    for a in (t.annotations or []) if t.kind == "class" else []:
-        yield _BLANK | {"rel": "annotation", "file": s.file, "owner": qn, "name": a.name, "values": [s.text(v) for v in a.values]}
+    for k, a in enumerate((t.annotations or []) if t.kind == "class" else []):
+        yield _BLANK | {"rel": "annotation", "file": s.file, "owner": qn, "id": k, "name": a.name, "values": [s.text(v) for v in a.values]}

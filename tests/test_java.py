@@ -1,7 +1,7 @@
 import pytest
 from oracle import compare
 
-from graphloom.plans import java
+from graphloom.plans import java, wide
 from graphloom.sources.java import CodeGraph, read_sources
 from graphloom.sources.javarows import java_rows
 from graphloom.operators import code
@@ -20,9 +20,9 @@ WIDE = """package a.b; import java.util.*; import static x.Y.z;
  interface Inner { default void dd() {} int CONST = 1; } enum En implements I { A(1) { void f() {} }, B; En() {} En(int i) {} } @interface Ann { int v() default 3; } abstract void nobody(); }"""
 
 
-@pytest.mark.parametrize("name", list(java.QUERIES))
+@pytest.mark.parametrize("name", list(java.QUERIES | wide.QUERIES))
 def test_query_matches_expected_rows(spark, name):
-    compare(spark, java.QUERIES[name], java.SQL[name])
+    compare(spark, (java.QUERIES | wide.QUERIES)[name], (java.SQL | wide.SQL)[name])
 
 
 def test_wide_source_makes_a_tree_and_connected_flow():
@@ -63,6 +63,16 @@ def test_forms_and_routes(spark, tmp_path):
     two.write_text('<struts><package name="default"><action name="a" class="p.C" method="n"/></package></struts>')
     got = sorted((r["action"], r["class"], r["method"]) for r in code.struts_actions(spark, [str(one), str(two)]).collect())
     assert got == [("a", "p.C", "n"), ("x.b", "p.B", None)]
+    # included files are merged, by name beside the including file, and win
+    main = tmp_path / "struts.xml"
+    main.write_text('<struts><include file="two.xml"/><package name="default"><action name="a" class="p.A"/><action name="z" class="p.Z"/></package></struts>')
+    got = sorted((r["action"], r["class"], r["method"]) for r in code.struts_actions(spark, str(main)).collect())
+    assert got == [("a", "p.C", "n"), ("z", "p.Z", None)]
+    (tmp_path / "pages" / "sub").mkdir(parents=True)
+    (tmp_path / "pages" / "sub" / "x.jsp").write_text(jsp)
+    (tmp_path / "pages" / "y.html").write_text(html)
+    found = code.views(spark, str(tmp_path / "pages"), ".jsp")
+    assert [(r.path.rpartition("/")[2], r.action) for r in code.jsp_forms(found, "path", "text").orderBy("k").collect()] == [("x.jsp", "one"), ("x.jsp", "two")]
 
 
 def test_paths_of_more_than_32_nodes(spark):
