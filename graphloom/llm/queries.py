@@ -48,7 +48,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), keep_text=False).drop("kept_text")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from graphloom.llm import substrings as S
 
@@ -48,6 +49,47 @@ def test_matches_brute_force(spark):
     assert sum(r.n_removed for r in got) > 1000
 
 
+def check(spark, rows):
+    want = reference(rows)
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted((str(i), *want[i, t]) for i, t in rows)
+    return got
+
+
+def test_a_short_line_in_a_third_of_the_documents(spark):
+    # 12 words with ever other neighbours: no window repeats but where the neighbours do
+    rng = random.Random(11)
+    line = [f"l{i}" for i in range(12)]
+    text = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    tail = text(15)
+    rows = []
+    for i in range(300):
+        words = text(40)
+        if i % 3 == 0:
+            words[20:20] = line + (tail if i % 30 == 0 else [])
+        rows.append((i, " ".join(words)))
+    got = check(spark, rows)
+    assert sum(r.n_removed > 0 for r in got) == 9
+    docs = spark.createDataFrame([(i, i, t.encode()) for i, t in rows], "doc_id long, text_hash long, text binary")
+    assert len(S._frequent(docs, 20, 0)) > 0
+
+
+def test_keys_of_several_documents_are_noticed(spark, monkeypatch):
+    # with the first seed documents share keys: links go to wrong texts, which the digests show
+    rng = random.Random(13)
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(i, " ".join([f"v{rng.randrange(10**6)}" for _ in range(30)] + passage[i % 7 : 70])) for i in range(30)]
+    real, seeds = S.key_of, []
+
+    def weak(doc_id, text_hash, seed):
+        seeds.append(seed)
+        return real(doc_id, text_hash, seed) if seed else F.pmod(doc_id, F.lit(4))
+
+    monkeypatch.setattr(S, "key_of", weak)
+    check(spark, rows)
+    assert seeds == [0, 1]
+
+
 def test_paths_cover_all_windows():
     rng = np.random.default_rng(1)
     for n in (20, 21, 57, 400):
