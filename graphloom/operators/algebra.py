@@ -99,12 +99,32 @@ def dotted(nodes: DataFrame, by: Sequence[str], order: str = "id", text: str = "
 
 
 def dot_text(nodes: DataFrame, edges: DataFrame, graph: str) -> DataFrame:
-    """``(graph, dot)``: a Graphviz text of each graph, labels HTML-escaped."""
+    """``(graph, dot)``: a Graphviz text of each graph, labels HTML-escaped.
+
+    Edges may have a ``label`` and a ``style``, further attributes as Graphviz writes them.
+    """
     from graphloom.functions.scalar import html_escape
 
     n = nodes.select(graph, F.lit(0).alias("k"), F.col("id").alias("a"), F.lit(0).alias("b"), F.format_string('%d [label="%s"];', F.col("id"), html_escape(F.col("code"))).alias("line"))
-    label = F.col("label") if "label" in edges.columns else F.lit("")
-    e = edges.select(graph, F.lit(1).alias("k"), F.col("src").alias("a"), F.col("dst").alias("b"), F.format_string('%d -> %d [label="%s"];', F.col("src"), F.col("dst"), F.coalesce(label, F.lit(""))).alias("line"))
-    lines = F.array_sort(F.collect_list(F.struct("k", "a", "b", "line")))
-    body = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
-    return n.union(e).groupBy(graph).agg(F.concat(F.lit("digraph {\n"), body, F.lit("\n}")).alias("dot"))
+    label = F.coalesce(F.col("label"), F.lit("")) if "label" in edges.columns else F.lit("")
+    style = F.concat(F.lit(" "), F.col("style")) if "style" in edges.columns else F.lit("")
+    e = edges.select(graph, F.lit(1).alias("k"), F.col("src").alias("a"), F.col("dst").alias("b"), F.format_string('%d -> %d [label="%s"%s];', F.col("src"), F.col("dst"), label, style).alias("line"))
+    return _wrapped(n.union(e), graph, "digraph {\n", "\n}", "dot")
+
+
+def _wrapped(lines: DataFrame, graph: str, before: str, after: str, name: str) -> DataFrame:
+    """Each graph's lines (k, a, b, line) in order between two texts."""
+    body = F.transform(F.array_sort(F.collect_list(F.struct("k", "a", "b", "line"))), lambda x: x["line"])
+    return lines.groupBy(graph).agg(F.concat(F.lit(before), F.array_join(body, "\n"), F.lit(after)).alias(name))
+
+
+def graphml_text(nodes: DataFrame, edges: DataFrame, graph: str, properties: Sequence[str]) -> DataFrame:
+    """``(graph, graphml)``: a GraphML text of each graph, with string properties of its nodes and the edges' labels."""
+    from graphloom.functions.scalar import html_escape
+
+    text = lambda c: F.regexp_replace(html_escape(F.coalesce(F.col(c).cast("string"), F.lit(""))), '"', "&quot;")
+    data = F.concat(*[F.concat(F.lit(f'<data key="{p}">'), text(p), F.lit("</data>")) for p in properties])
+    n = nodes.select(graph, F.lit(0).alias("k"), F.col("id").alias("a"), F.lit(0).alias("b"), F.concat(F.format_string('<node id="%d">', "id"), data, F.lit("</node>")).alias("line"))
+    e = edges.select(graph, F.lit(1).alias("k"), F.col("src").alias("a"), F.col("dst").alias("b"), F.concat(F.format_string('<edge source="%d" target="%d"><data key="label">', "src", "dst"), text("label"), F.lit("</data></edge>")).alias("line"))
+    keys = "\n".join([f'<key id="{p}" for="node" attr.name="{p}" attr.type="string"/>' for p in properties] + ['<key id="label" for="edge" attr.name="label" attr.type="string"/>'])
+    return _wrapped(n.union(e), graph, f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n{keys}\n<graph edgedefault="directed">\n', "\n</graph>\n</graphml>", "graphml")

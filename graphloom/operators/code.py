@@ -196,6 +196,33 @@ def graphs_of_file(g: CodeGraph, file: str) -> DataFrame:
     return g.cfg.where(F.col("file") == file).groupBy("graph").agg(F.count("*").alias("nodes"))
 
 
+def node(g: CodeGraph, kind: str, key: str, number: int) -> DataFrame:
+    """The node of a file's syntax tree (``ast``) or a method's control flow (``cfg``) or data flow (``dfg``); no row if there is none."""
+    table, by = {"ast": (g.ast, "file"), "cfg": (g.cfg, "graph"), "dfg": (g.dfg, "graph")}[kind]
+    return table.where((F.col(by) == key) & (F.col("id") == number))
+
+
+def plot(g: CodeGraph, kind: str) -> DataFrame:
+    """Graphviz texts: of files' syntax trees, of methods' control flow with its kinds, of data flow.
+
+    Edges of a tree are green; data flow shows the control flow as grey dashes and its own edges teal,
+    flows to other methods are hidden.
+    """
+    if kind == "ast":
+        text = F.when(F.col("code") == "", F.col("kind")).otherwise(F.concat("kind", F.lit(": "), "code"))
+        tree = g.ast_edges.select("file", "src", "dst", F.lit('color="green"').alias("style"))
+        return algebra.dot_text(g.ast.select("file", "id", text.alias("code")), tree, "file")
+    if kind == "cfg":
+        return algebra.dot_text(g.cfg, g.cfg_edges, "graph")
+    placed = g.dfg.select("graph", "id", "cfg_id")
+    end = lambda c: placed.select("graph", F.col("cfg_id").alias(c), F.col("id").alias(f"{c}_df"))
+    control = g.cfg_edges.join(end("src"), ["graph", "src"]).join(end("dst"), ["graph", "dst"]).select(
+        "graph", F.col("src_df").alias("src"), F.col("dst_df").alias("dst"), "label", F.lit('color="grey" style="dashed"').alias("style")
+    )
+    data = g.flows.select("graph", "src", "dst", "label", F.lit('color="teal"').alias("style"))
+    return algebra.dot_text(g.dfg.select("graph", "id", "code"), control.union(data), "graph")
+
+
 def returns(g: CodeGraph) -> DataFrame:
     """Nodes that are return statements with a value."""
     return _kind(g, "RETURN").select("file", "id", "line")

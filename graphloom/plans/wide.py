@@ -9,6 +9,7 @@ from graphloom.functions import scalar
 from graphloom.operators import algebra, closure, code
 from graphloom.plans.java import _listed, _numbered, _values
 from graphloom.plans.java import graph as small_graph
+from graphloom.sources import store
 from graphloom.sources.java import CodeGraph
 
 WIDE = {
@@ -181,6 +182,49 @@ def dotted_names(spark, d):
     return algebra.dotted(tops.join(names, ["file", "id"]), ["id"], "n").select("id", "dotted")
 
 
+TINY = {"T.java": "package p; class T { void m(int a) { f(a); } }"}
+
+
+def plot_ast(spark, d):
+    return code.plot(graph(spark, TINY), "ast")
+
+
+def plot_cfg(spark, d):
+    return code.plot(graph(spark, TINY), "cfg")
+
+
+def plot_dfg(spark, d):
+    return code.plot(graph(spark, TINY), "dfg")
+
+
+def graphml(spark, d):
+    g = graph(spark, TINY)
+    return algebra.graphml_text(g.cfg, g.cfg_edges, "graph", ["kind", "code"])
+
+
+def node_ast(spark, d):
+    return code.node(small_graph(spark), "ast", "p.A", 22).select("kind", "line")
+
+
+def node_dfg(spark, d):
+    return code.node(small_graph(spark), "dfg", "p.D.m", 4).select("code", F.array_join("defs", ",").alias("defs"))
+
+
+def node_absent(spark, d):
+    return code.node(small_graph(spark), "cfg", "p.D.m", 99).select("kind")
+
+
+def json_round_trip(spark, d):
+    nodes = graph(spark, TINY).dfg.select("graph", "id", "code", "defs", "uses")
+    back = store.typed_rows(store.json_rows(nodes), nodes.schema)
+    return back.select("graph", "id", "code", F.array_join("defs", ",").alias("defs"), F.array_join("uses", ",").alias("uses"))
+
+
+def flat_nodes(spark, d):
+    calls = graph(spark, TINY).ast.where("kind = 'CALL'").select("id", "kind", "name", "args", "text")
+    return store.flat_rows(calls, ["name", "args", "text"])
+
+
 def k10_state_change(spark, d):
     names = ["setX", "putAll", "Address", "insertAt", "push", "APPEND", "reset", "input", "get", "addressOf"]
     return spark.createDataFrame([(n,) for n in names], "name string").where(scalar.changes_state(F.col("name")))
@@ -191,7 +235,7 @@ QUERIES = {
     for f in (
         wide_ast, wide_call_properties, wide_cfg_nodes, wide_cfg_edges, wide_def_use, wide_flows, wide_self_flows, wide_classes, wide_fields, wide_methods, wide_shared_ids,
         compat_ast, compat_def_use, struts_sources, struts_sinks, struts_taint, spring_sources, login_names, save_and_exec, method_names, first_below, control_node,
-        pruned_visits, flow_targets, flows_from, initial_nodes, initial_edges, same_graph, dotted_names, k10_state_change,
+        pruned_visits, flow_targets, flows_from, initial_nodes, initial_edges, same_graph, dotted_names, plot_ast, plot_cfg, plot_dfg, graphml, node_ast, node_dfg, node_absent, json_round_trip, flat_nodes, k10_state_change,
     )
 }
 
@@ -582,6 +626,12 @@ ROOT Filename
 """
 
 
+def _text(columns: str, key: str, *lines: str) -> str:
+    """One row of a key and a text of several lines."""
+    quoted = ", ".join("'" + x.replace("'", "''") + "'" for x in lines)
+    return f"SELECT * FROM (VALUES ('{key}', concat_ws(chr(10), {quoted}))) t({columns})"
+
+
 def _at(file: str, outline: str, kind: str) -> list[int]:
     return [r[1] for r in _outline(file, outline) if r[2] == kind]
 
@@ -696,5 +746,20 @@ SQL = {
     "java_initial_edges": _values("src, dst, label", (1, 2, "FALSE"), (1, 3, "TRUE"), (3, 4, "TRUE"), (4, 2, "EPS"), (3, 5, "FALSE"), (5, 6, "EPS"), (6, 1, "EPS")),
     "java_same_graph": "SELECT 'itself' AS k, true AS same UNION ALL SELECT 'less one', false",
     "java_dotted_names": _values("id, dotted", *[(i, t) for i, t in zip(_at("p.S3", _S3, "DOT"), ("this.f", "super", "z", None, "x.y"), strict=True) if t]),
+    "java_plot_ast": _text("file, dot", "p.T", "digraph {", *[f'{i} [label="{t}"];' for i, t in enumerate(
+        ("ROOT: Filename", "PACKAGE: p", "CLASS", "MODIFIER", "NAME: T", "METHOD", "MODIFIER", "RET_VAL_TYPE: void", "NAME: m", "PARAMS", "VARIABLE", "TYPE: int", "NAME: a", "BLOCK", "STATEMENT", "CALL", "NAME: f", "PARAMS", "NAME: a"), 1)],
+        *[f'{a} -> {b} [label="" color="green"];' for a, b in ((1, 2), (1, 3), (3, 4), (3, 5), (3, 6), (6, 7), (6, 8), (6, 9), (6, 10), (6, 14), (10, 11), (11, 12), (11, 13), (14, 15), (15, 16), (16, 17), (16, 18), (18, 19))], "}"),
+    "java_plot_cfg": _text("graph, dot", "p.T.m", "digraph {", '1 [label="void m(int a)"];', '2 [label="f(a);"];', '1 -> 2 [label="EPS"];', "}"),
+    "java_plot_dfg": _text("graph, dot", "p.T.m", "digraph {", '1 [label="void m(int a)"];', '2 [label="f(a);"];', '1 -> 2 [label="EPS" color="grey" style="dashed"];', '1 -> 2 [label="a" color="teal"];', "}"),
+    "java_graphml": _text(
+        "graph, graphml", "p.T.m", '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="kind" for="node" attr.name="kind" attr.type="string"/>', '<key id="code" for="node" attr.name="code" attr.type="string"/>',
+        '<key id="label" for="edge" attr.name="label" attr.type="string"/>', '<graph edgedefault="directed">', '<node id="1"><data key="kind">ENTRY</data><data key="code">void m(int a)</data></node>',
+        '<node id="2"><data key="kind">EXPR</data><data key="code">f(a);</data></node>', '<edge source="1" target="2"><data key="label">EPS</data></edge>', "</graph>", "</graphml>",
+    ),
+    "java_node_ast": _values("kind, line", ("IF", 2)),
+    "java_node_dfg": _values("code, defs", ("n--;", "n")),
+    "java_node_absent": "SELECT '' AS kind WHERE false",
+    "java_json_round_trip": _values("graph, id, code, defs, uses", ("p.T.m", 1, "void m(int a)", "a", ""), ("p.T.m", 2, "f(a);", "", "a")),
+    "java_flat_nodes": _values("id, kind, properties", (16, "CALL", '{"name":"f","args":["a"]}')),
     "k10_state_change": _values("name", ("setX",), ("putAll",), ("Address",), ("insertAt",), ("push",), ("APPEND",), ("addressOf",)),
 }

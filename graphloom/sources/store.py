@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.operators import algebra
 
@@ -69,3 +70,19 @@ class Store:
 def json_rows(df: DataFrame) -> DataFrame:
     """One JSON document for each row."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def typed_rows(df: DataFrame, schema: str | T.StructType, column: str = "json") -> DataFrame:
+    """The rows that JSON documents hold, by an explicit schema; fields that a document lacks are null."""
+    return df.select(F.from_json(column, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def flat_rows(df: DataFrame, properties: list[str]) -> DataFrame:
+    """Rows whose property columns become one JSON text ``properties`` without null members."""
+    rest = [c for c in df.columns if c not in properties]
+    return df.select(*rest, F.to_json(F.struct(*properties)).alias("properties"))
+
+
+def load_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A dumped collection with the types it had."""
+    return spark.read.schema(schema).json(path, mode="FAILFAST")
