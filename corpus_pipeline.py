@@ -2,6 +2,10 @@
 
 Each stage is a function of (spark, docs, sf_dir) that calls one operator of
 ``graphloom.llm``.  All but the last return the columns of ``documents``.
+
+Nulls: a null text is in no language and goes in the first stage; a null id is
+kept, after all others where one of several stays; a null source is a source of
+its own, a null language only keeps a document from being learned from.
 """
 
 from __future__ import annotations
@@ -54,7 +58,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = Stored(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+        done = Stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if held:
+            held.drop()
+        docs, held = done.df, done
     return STAGES[-1][1](spark, docs, sf_dir)
