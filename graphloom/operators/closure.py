@@ -6,9 +6,12 @@ import re
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.flow import reaching
+
 
 def _path(df: DataFrame) -> str:
     """A fresh folder under ``spark.checkpoint.dir``; on one machine a temporary one where that is unset."""
@@ -116,3 +119,18 @@ def reaching_definitions(cfg: DataFrame, facts: DataFrame, entered: DataFrame |
         seen = seen.union(frontier)
     used = seen.join(facts.select("graph", F.col("id").alias("at"), "uses"), ["graph", "at"]).where(F.array_contains("uses", F.col("var")))
     return used.select("graph", F.col("def").alias("src"), F.col("at").alias("dst"), "var")
+
+
+def reaching_definitions_by_graph(cfg: DataFrame, facts: DataFrame) -> DataFrame:
+    """The rows of ``reaching_definitions`` where each graph, as a method or a session, fits in a task: one shuffle, no loop.
+
+    ``graph`` is of a simple type and ids are longs.
+    """
+    kind = facts.schema["graph"].dataType.simpleString()
+
+    def solve(key: tuple, edges: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        ids = nodes["id"].tolist()
+        found = list(reaching(zip(edges["src"].tolist(), edges["dst"].tolist()), dict(zip(ids, map(set, nodes["defs"]))), dict(zip(ids, map(set, nodes["uses"])))))
+        return pd.DataFrame(found, columns=["src", "dst", "var"]).assign(graph=key[0])[["graph", "src", "dst", "var"]]
+
+    return cfg.groupBy("graph").cogroup(facts.groupBy("graph")).applyInPandas(solve, f"graph {kind}, src long, dst long, var string")

@@ -131,7 +131,7 @@ def f1_reaching_defs(spark, d):
         F.when(F.col("event_type") == "purchase", one).otherwise(none).alias("uses"),
     )
     cfg = e.where("id > 1").select(F.col("user_id").alias("graph"), (F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
-    found = closure.reaching_definitions(cfg, facts, facts.select("graph", "id"))
+    found = closure.reaching_definitions_by_graph(cfg, facts)
     name = lambda c, as_: e.select(F.col("user_id").alias("graph"), F.col("id").alias(c), F.col("event_id").alias(as_))
     return found.join(name("src", "def_id"), ["graph", "src"]).join(name("dst", "use_id"), ["graph", "dst"]).select("def_id", "use_id")
 

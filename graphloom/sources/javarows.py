@@ -10,6 +10,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+from graphloom.functions.flow import reaching
 from graphloom.sources.javasyntax import JavaSyntaxError, N, Parser, parse
 
 COLUMNS = (
@@ -695,27 +696,10 @@ class Flow:
         self.flows.append(_BLANK | {"rel": "flow", "file": self.s.file, "graph": self.graph, "src": src, "dst": dst, "label": name, "type": kind})
 
     def reach(self) -> None:
-        """Flows from each definition that the entry reaches to its uses, up to the next definitions."""
-        after: dict[int, list[int]] = {}
-        for a, b, _ in self.edges:
-            after.setdefault(a, []).append(b)
-
-        def walk(start: int, ends) -> list[int]:
-            seen, todo = set(), list(after.get(start, ()))
-            while todo:
-                n = todo.pop()
-                if n not in seen:
-                    seen.add(n)
-                    if not ends(n):
-                        todo += after.get(n, ())
-            return sorted(seen - {start})
-
         at = {r["id"]: r for r in self.nodes if r["defs"] is not None}
-        for d in [1, *walk(1, lambda n: False)] if self.nodes else []:
-            for name in at[d]["defs"] if d in at else []:
-                for n in walk(d, lambda n: n == d or n in at and name in at[n]["defs"]):  # noqa: B023
-                    if n in at and name in at[n]["uses"]:
-                        self.flow(at[d]["depth"], at[n]["depth"], name, "INTRA")
+        edges = [(a, b) for a, b, _ in self.edges]
+        for a, b, name in reaching(edges, {n: r["defs"] for n, r in at.items()}, {n: r["uses"] for n, r in at.items()}):
+            self.flow(at[a]["depth"], at[b]["depth"], name, "INTRA")
 
     def rows(self) -> Iterator[dict]:
         self.reach()

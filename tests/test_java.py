@@ -80,3 +80,19 @@ def test_paths_of_more_than_32_nodes(spark):
     g = CodeGraph(spark.createDataFrame([("/src/Z.java", f"package p; class Z {{ void m() {{ {body} }} }}")], "path string, text string"))
     assert [r.path for r in code.control_paths(g, "p.Z.m", 1, 41).collect()] == [list(range(1, 42))]
     assert code.control_paths(g, "p.Z.m", 1, 41, most=40).collect() == []
+
+
+def test_reaching_definitions_by_loop_and_by_graph(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import closure
+
+    g = wide.graph(spark, wide.WIDE | java.SOURCES)
+    facts = g.dfg.select("graph", F.col("cfg_id").cast("long").alias("id"), "defs", "uses")
+    cfg = g.cfg_edges.select("graph", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    rows = lambda df: sorted((r.graph, r.src, r.dst, r["var"]) for r in df.collect())
+    by_loop, by_graph = rows(closure.reaching_definitions(cfg, facts)), rows(closure.reaching_definitions_by_graph(cfg, facts))
+    assert by_loop == by_graph and len(by_loop) > 50
+    at = {(r.graph, r.cfg_id): r.id for r in g.dfg.collect()}
+    parsed = sorted((r.graph, r.src, r.dst, r.label) for r in g.flows.where("kind = 'INTRA'").collect())
+    assert parsed == sorted((k, at[k, a], at[k, b], v) for k, a, b, v in by_loop)
