@@ -5,9 +5,11 @@ that holds at least need = ceil(t * m) of them.  The item's sketch is its
 m - need + 1 smallest shingle hashes (a bottom-k MinHash): a document that holds
 none of them lacks too many shingles to reach need, so sketch hits find every
 contained item, at any document length.  Items are partitioned by size class
-(the power of two of need); a document probes only the classes whose smallest
-need its own shingle count reaches.  Candidates are then verified by the exact
-containment of shingle strings.
+(the power of two of need).  The index is kept for each class of document
+lengths and holds there the items of the classes that such a document can
+reach, so the class is part of the join's key: a short document never meets a
+long item's sketch, and every shingle is looked up once.  Candidates are then
+verified by the exact containment of shingle strings.
 
 Only DataFrame functions run: hashing, explode and equi-joins on the JVM.
 """
@@ -21,8 +23,12 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import Stored, let
 
-#: A sketch table up to so many rows (16 bytes each) is broadcast; a larger one is joined by a shuffle.
+#: An index or candidate list up to so many rows (24 bytes each) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Items up to so many bytes of shingles are broadcast for the verification.
+BROADCAST_BYTES = 32 << 20
+#: Size classes; the last has no upper end.
+CLASSES = 16
 
 
 def normal_words(text: Column) -> Column:
@@ -44,8 +50,12 @@ def shingle_strings(words: Column, width: int) -> Column:
 
 
 def shingle_hashes(words: Column, width: int) -> Column:
-    """Hash of each shingle, of its words' hashes, repeats included."""
-    return shingles(F.transform(words, lambda w: F.xxhash64(w)), width, F.xxhash64)
+    """Hash of each shingle, of its width and its words' hashes, repeats included."""
+    return shingles(F.transform(words, lambda w: F.xxhash64(w)), width, lambda *w: F.xxhash64(F.lit(width), *w))
+
+
+def size_class(n: Column) -> Column:
+    return F.least(F.log2(F.greatest(n, F.lit(1))).cast("int"), F.lit(CLASSES - 1))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -62,8 +72,9 @@ def contained_items(
     Shingles are runs of ``width`` normalised words; an item of fewer words is
     one shingle of all its words.  Defined results: an item without words is in
     no document; null and empty texts contain nothing; null ids stay null;
-    rows repeated in either table give one row for each distinct pair of ids
-    (the largest overlap); empty tables give an empty result; other columns are
+    rows repeated in either table give one row for each distinct pair of ids,
+    that of the largest overlap; a pair at the threshold counts; texts of any
+    length are read whole; empty tables give an empty result; other columns are
     not read.
     """
     bench = items.select(F.col(item_col).cast("long").alias("item_id"), normal_words(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
@@ -87,35 +98,31 @@ def contained_items(
     for w in widths:
         hashes = F.transform("shingles", lambda g: F.get(shingle_hashes(F.split(g, " "), w), F.lit(0)))  # noqa: B023
         own = sets.where(F.col("width") == w).select(
-            F.lit(w).alias("width"), "item", F.log2(F.greatest("need", F.lit(1))).cast("int").alias("size_class"),
-            F.explode(F.slice(F.array_sort(hashes), 1, F.col("n_item") - F.col("need") + 1)).alias("h"),
+            "item", size_class(F.col("need")).alias("item_class"), F.explode(F.slice(F.array_sort(hashes), 1, F.col("n_item") - F.col("need") + 1)).alias("h"),
         )
         sketches = own if sketches is None else sketches.union(own)
-    sketches = Stored(sketches, "decontam-sketch").df
-    n_sketch = sketches.count()
+    index = sketches.select("item", F.explode(F.sequence("item_class", F.lit(CLASSES - 1))).alias("size_class"), "h")
+    index = Stored(index, "decontam-index").df
 
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    hits = None
-    for w in widths:
-        hashed = texts.select("doc_id", "text_hash", shingle_hashes(normal_words(F.col("text")), w).alias("hs"))
-        probes = hashed.select("doc_id", "text_hash", "hs", F.size("hs").alias("n_doc")).select(
-            "doc_id", "text_hash", "n_doc", F.explode("hs").alias("h")
-        )
-        own = probes.join(_small(sketches.where(F.col("width") == w), n_sketch), "h")
-        # a document of n_doc shingles reaches only the classes whose least need is at most n_doc
-        own = own.where(F.expr("shiftleft(1, size_class)") <= F.col("n_doc")).select("doc_id", "text_hash", "item")
-        hits = own if hits is None else hits.union(own)
+    # one pass for all widths; a document has at most as many shingles as words
+    each = lambda a: F.concat(*[F.coalesce(shingle_hashes(a, w), F.array().cast("array<long>")) for w in widths])
+    hashed = texts.select("doc_id", "text_hash", let(normal_words(F.col("text")), lambda a: F.struct(size_class(F.size(a)).alias("size_class"), each(a).alias("hs"))).alias("x"))
+    probes = hashed.select("doc_id", "text_hash", "x.size_class", F.explode("x.hs").alias("h"))
+    hits = probes.join(_small(index, index.count()), ["size_class", "h"]).select("doc_id", "text_hash", "item")
     found = Stored(hits.distinct(), "decontam-hits")
     wanted = found.df.select("text_hash").distinct()
     n_wanted = wanted.count()
     texts = texts.select("text_hash", "text").join(_small(wanted, n_wanted), "text_hash", "left_semi").dropDuplicates(["text_hash"])
     pairs = found.df.select("text_hash", "item").distinct()
     spelled = texts.select("text_hash", normal_words(F.col("text")).alias("words"))
+    size = sets.agg(F.sum(F.aggregate("shingles", F.lit(0), lambda a, x: a + F.octet_length(x) + 16))).first()[0]
     results = None
     for w in widths:
         doc_sets = spelled.select("text_hash", shingle_strings(F.col("words"), w).alias("has"))
-        own = pairs.join(_small(sets.where(F.col("width") == w), n_sketch), "item").join(doc_sets, "text_hash").select(
+        items_of = sets.where(F.col("width") == w)
+        own = pairs.join(F.broadcast(items_of) if size <= BROADCAST_BYTES else items_of, "item").join(doc_sets, "text_hash").select(
             "text_hash", "item", "item_id", "n_item", "need", F.size(F.array_intersect("shingles", "has")).alias("n_shared")
         )
         results = own if results is None else results.union(own)

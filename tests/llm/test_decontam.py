@@ -54,3 +54,10 @@ def test_empty_tables(spark):
     assert D.contained_items(d.limit(0), b).collect() == []
     assert D.contained_items(d, b.limit(0)).collect() == []
     assert D.contained_items(d, b).collect()[0].containment == 1.0
+
+
+def test_drop_contaminated_on_empty_tables(spark):
+    d = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    assert D.drop_contaminated(d.limit(0), b).collect() == []
+    assert [r.doc_id for r in D.drop_contaminated(d, b.limit(0)).collect()] == [1]
