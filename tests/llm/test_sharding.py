@@ -24,7 +24,8 @@ def test_sizes_are_nearly_equal(spark):
     rows += [(None, None, 1, 2), (9, "", 1, 2), (9, "", 1, 2), (9999, "é" * 9000, 1, 2)]
     rows += [(7777, "one row again and again " * 8, 1, 2)] * 400
     df = spark.createDataFrame(rows, "doc_id long, text string, shard int, size int")
-    size = check(rows, S.shard(df).collect())
+    got = S.shard(df).collect()
+    size = check(rows, got)
     mean = sum(size.values()) / 24
     assert len(size) == 24 and max(size.values()) < 1.02 * mean and min(size.values()) > 0.98 * mean
 
@@ -33,3 +34,23 @@ def test_few_rows_and_none(spark):
     rows = [(1, "a"), (2, None), (3, "bbb")]
     check(rows, S.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert S.shard(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_equal_texts_share_a_shard_unless_they_are_too_many(spark):
+    rng = random.Random(3)
+    rows, total = [], 0
+    for g in range(400):
+        text = f"group {g} " * rng.randrange(5, 40)
+        rows += [(len(rows) + k * 100_000, text) for k in range(rng.choice([1, 1, 2, 3, 9]))]
+    rows += [(900_000 + i, "a text that a third of all rows share " * 4) for i in range(len(rows) // 2)]
+    got = S.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    size = check(rows, got)
+    text_of = dict(rows)
+    groups, bytes_of = defaultdict(set), defaultdict(int)
+    for r in got:
+        groups[text_of[r.doc_id]].add(r.shard)
+        bytes_of[text_of[r.doc_id]] += r.size
+    total = sum(size.values())
+    small = [t for t in groups if bytes_of[t] <= total / 96]
+    assert len(small) > 300 and all(len(groups[t]) == 1 for t in small)
+    assert max(size.values()) < 1.05 * total / 24 and min(size.values()) > 0.95 * total / 24
