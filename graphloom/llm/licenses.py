@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import let
@@ -44,6 +44,32 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_2 = next(t for n, t in TEMPLATES if n == "BSD-2-Clause")
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+# Whole licence texts, as their files have them after the copyright line.
+TEMPLATES += [
+    ("MIT", "MIT License " + next(t for n, t in TEMPLATES if t.startswith("Permission is hereby")) + " " + _AS_IS),
+    ("BSD-2-Clause", _BSD_2 + " " + _BSD_END),
+    ("BSD-3-Clause", _BSD_2 + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END),
+    ("ISC", next(t for n, t in TEMPLATES if n == "ISC") + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _AS_IS.replace("OR COPYRIGHT HOLDERS ", "")),
+]
+
+
+def read_templates(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """Templates from whole licence files in a folder, named by their licences; a few files."""
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*?)(\.txt)?$", 1), "value")
+    return [tuple(r) for r in files.collect()]
+
 
 def _words(text: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
@@ -96,13 +122,15 @@ def scan_licenses(
     table gives an empty result; other columns are not read.
     """
     spark = df.sparkSession
-    table = []
-    for name, text in templates:
+    held, table = [], []
+    for k, (name, text) in enumerate(templates):
         grams = _bigrams(text)
         low, high = bounds(len(grams), threshold)
-        table += [(n, name, grams) for n in range(low, high + 1)]
-    # one row for each template and size: bounded by the templates' length
-    sized = F.broadcast(spark.createDataFrame(table, "n int, license string, grams array<string>"))
+        held.append((k, name, grams))
+        table += [(n, k) for n in range(low, high + 1)]
+    # one row for each template and size that can reach the threshold, and the templates: bounded by their length
+    sized = F.broadcast(spark.createDataFrame(table, "n int, k int"))
+    spelled = F.broadcast(spark.createDataFrame(held, "k int, license string, grams array<string>"))
     low = F.lower(F.col("text"))
     probed = F.lit(False)
     for word in probe_words(templates, threshold):
@@ -119,7 +147,7 @@ def scan_licenses(
     each = docs.select("doc_id", F.explode(units).alias("unit")).where("length(unit) > 2")
     each = each.select("doc_id", "unit", let(_normal(F.col("unit")), grams).alias("has")).withColumn("n", F.size("has"))
     shared = F.size(F.array_intersect("has", "grams"))
-    scored = each.join(sized, "n").select(
+    scored = each.join(sized, "n").join(spelled, "k").select(
         "doc_id", "license", F.xxhash64("unit").alias("unit"), (2.0 * shared / (F.col("n") + F.size("grams"))).alias("dice")
     )
     return scored.where(F.col("dice") >= threshold).groupBy("doc_id", "license").agg(
