@@ -3,10 +3,11 @@
 The mix's words are equal blocks.  Each block goes to the source with the highest
 quotient target / (2k + 1), k blocks given so far; the sequence of blocks is cut
 into shards, so every shard has integer quotas close to the targets.  A source's
-documents stand in a seeded order of their own; its quota takes whole laps over
-that order and then the first blocks of the next lap, so the blocks a partial
-lap takes are a seeded choice.  A source of few blocks takes its target to the
-word instead, for blocks grow with the corpus and may be larger than it.
+documents stand in a seeded order of their own; shard by shard its quota takes
+the next blocks of that order, whole laps and then the first blocks of the last
+lap, so the blocks a partial lap takes are a seeded choice.  A source of few
+blocks takes its target to the word instead, an equal part in every shard, for
+blocks grow with the corpus and may be larger than it.
 
 Only DataFrame functions run.  Positions in a source are sums by (source, cell),
 a cell being a prefix of the seeded hash, plus a running sum inside a cell, so a
@@ -60,17 +61,19 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: fl
 
 
 def quotas(sources: DataFrame, shards: int, blocks: int) -> DataFrame:
-    """``(source, shard, quota)``: blocks of each source in each shard.
+    """``(source, shard, quota)``: blocks of each source in each shard, by the highest quotients.
 
-    ``sources`` has source and target; shards * blocks blocks are given out.
-    The quotients listed number that many plus two for each source, whatever the
-    data's size.
+    ``sources`` has source and target, one row for each of m sources; shards *
+    blocks = n blocks are given out.  A source of the part q of all targets gets
+    at most q * (n + m / 2) + 1/2 blocks: with d the least quotient given, all
+    sources together have at least the sum of target / d - 1/2 blocks.  So many
+    quotients are listed for it, about n + 3m in all.
     """
     total = shards * blocks
-    all_targets = Window.partitionBy()
-    listed = sources.where("target > 0").withColumn("all", F.sum("target").over(all_targets)).select(
-        "source", "target",
-        F.explode(F.sequence(F.lit(0), (F.col("target") / F.col("all") * total).cast("int") + 1)).alias("k"),
+    everything = Window.partitionBy()
+    most = F.col("target") / F.col("all") * (F.lit(total) + F.col("m") / 2)
+    listed = sources.where("target > 0").withColumn("all", F.sum("target").over(everything)).withColumn("m", F.count("*").over(everything)).select(
+        "source", "target", F.explode(F.sequence(F.lit(0), most.cast("int") + 1)).alias("k"),
     )
     order = Window.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), F.col("source").asc_nulls_last(), "k")
     given = listed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= total)
@@ -82,29 +85,37 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
     shards: int = 24, blocks: int = 1000, seed: int = 42,
 ) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)``, one row for each row of ``df``.
+    """``(doc_id, size, source_size, target, taken, shard_words)``, one row for each row of ``df``.
 
     size counts words; taken is how many of the document's words the mix takes,
-    repeats counted.  Defined results: a null text has size 0 and nothing is taken; a null source
-    is a source, last in order; null ids are ordered like an empty id; rows that
-    share id and size are interchangeable; if all sizes are 0 so are the
-    targets; an empty table gives an empty result.
+    repeats counted; shard_words lists how many of them lie in the blocks of each
+    shard.  A source's blocks follow each other in its seeded order, the first
+    ``quota`` of them in shard 0 and so on; past the last document the order
+    starts again.  Defined results: a null text has size 0 and nothing is taken;
+    a null source is a source, last in order; null ids are ordered like an empty
+    id; rows that share id and text are interchangeable; if all sizes are 0 so
+    are the targets; an empty table gives an empty result; other columns are not
+    read.
     """
     src = F.col(source_col).cast("string")
-    measured = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), src.alias("source"), n_words(F.col(text_col)).alias("size"),
-    ).withColumn("mark", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # the text is part of the mark, so that null and repeated ids are spread too
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(":"), F.md5(text)))
+    measured = df.select(F.col(id_col).cast("long").alias("doc_id"), src.alias("source"), n_words(text).alias("size"), mark.alias("mark"))
     docs = Stored(measured.withColumn("cell", F.substring("mark", 1, CELL_DIGITS)), "mix").df
     cells = docs.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     cells = Stored(cells, "mix-cells").df  # at most 16 ** CELL_DIGITS rows a source
     sizes = cells.groupBy("source").agg(F.sum("cell_size").alias("source_size"))
     named = Stored(targets(sizes, weights, share, most), "mix-sources").df
-    taken = quotas(named, shards, blocks).groupBy("source").agg(F.sum("quota").alias("quota"))
+    given = quotas(named, shards, blocks).groupBy("source").agg(F.collect_list(F.struct("shard", "quota")).alias("given"))
     block = F.sum("target").over(Window.partitionBy()) / (shards * blocks)
-    wanted = F.when(F.col("target") < FEW_BLOCKS * F.col("block"), F.col("target")).otherwise(F.coalesce("quota", F.lit(0)) * F.col("block"))
-    s = named.withColumn("block", block).alias("n").join(taken.alias("t"), F.expr("n.source <=> t.source"), "left").select(
+    few = F.col("target") < FEW_BLOCKS * F.col("block")
+    until = lambda s: F.aggregate("given", F.lit(0).cast("long"), lambda a, x: a + F.when(x["shard"] < s, x["quota"]).otherwise(0))
+    # words of the source before each shard, and all that it takes at the end
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(shards)), lambda s: F.when(few, F.col("target") * s / shards).otherwise(F.coalesce(until(s), F.lit(0)) * F.col("block")))
+    s = named.withColumn("block", block).alias("n").join(given.alias("t"), F.expr("n.source <=> t.source"), "left").select(
         F.col("n.source").alias("source"), "source_size", "target",
-        F.least(F.round(wanted), F.lit(most) * F.col("source_size")).cast("long").alias("words"),
+        F.transform(wanted, lambda w: F.least(F.round(w), F.lit(most) * F.col("source_size")).cast("long")).alias("words"),
     )
     in_order = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select("source", "cell", F.coalesce(F.sum("cell_size").over(in_order), F.lit(0)).alias("cell_start"))
@@ -114,11 +125,14 @@ def mix(
     joined = placed.alias("d").join(starts.alias("c"), F.expr("d.source <=> c.source AND d.cell = c.cell")).select(
         "doc_id", "size", "source_size", "target", "words", (F.col("cell_start") + F.col("inside")).alias("start")
     )
-    # whole laps, and the part of the last lap that lies in this document
-    laps = F.expr("if(source_size > 0, words div source_size, 0L)")
-    rest = F.expr("if(source_size > 0, words % source_size, 0L)")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return joined.select("doc_id", "size", "source_size", "target", (laps * F.col("size") + part).cast("long").alias("taken"))
+    # of the first w words of the laps: whole laps, and the part of the last lap that lies in this document
+    before = F.expr(
+        "transform(words, w -> if(source_size > 0, (w div source_size) * size + greatest(0L, least(size, w % source_size - start)), 0L))"
+    )
+    return joined.withColumn("before", before).select(
+        "doc_id", "size", "source_size", "target", F.get("before", F.lit(shards)).alias("taken"),
+        F.expr(f"transform(sequence(0, {shards - 1}), s -> before[s + 1] - before[s])").alias("shard_words"),
+    )
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
@@ -139,10 +153,11 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     return kept.select(*[kept[c] for c in df.columns])
 
 
-#: DuckDB SQL of the query.
+#: DuckDB SQL of the query: quotients past any that can be among the highest, and a sum over every shard's blocks.
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS mark FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS mark FROM documents
 ), z AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
   SELECT source, source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM z
@@ -152,16 +167,26 @@ w AS (
 ), t AS (
   SELECT source, source_size, coalesce(least(cap, (SELECT arg_min(level, cap / weight) FROM l WHERE level <= cap / weight) * weight), cap) AS target FROM l
 ), q AS (
-  SELECT source, target, unnest(range(0, trunc(target / (sum(target) OVER ()) * 24000)::INT + 2)) AS k FROM t WHERE target > 0
+  SELECT source, target, unnest(range(0, (24000 + 5 * count(*) OVER ())::INT)) AS k FROM t WHERE target > 0
 ), g AS (
-  SELECT source, count(*) AS quota FROM (SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source ASC NULLS LAST, k) AS n FROM q) WHERE n <= 24000 GROUP BY source
+  SELECT source, (n - 1) // 1000 AS shard, count(*) AS quota
+  FROM (SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source ASC NULLS LAST, k) AS n FROM q) WHERE n <= 24000 GROUP BY ALL
+), b AS (
+  SELECT source, source_size, target, sum(target) OVER () / 24000 AS block FROM t
 ), s AS (
-  SELECT t.source, source_size, target, least(round(coalesce(quota, 0) * ((sum(target) OVER ()) / 24000)), 2.0 * source_size)::BIGINT AS words
-  FROM t LEFT JOIN g ON t.source IS NOT DISTINCT FROM g.source
+  SELECT b.source, source_size, target, h,
+    least(round(CASE WHEN target < 100 * block THEN target * h / 24.0::DOUBLE
+      ELSE coalesce((SELECT sum(quota) FROM g WHERE g.source IS NOT DISTINCT FROM b.source AND g.shard < h), 0) * block END), 2.0 * source_size)::BIGINT AS words
+  FROM b, (SELECT unnest(range(0, 25)) AS h)
 ), p AS (
-  SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY mark, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d
+  SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY mark, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, row_number() OVER () AS r FROM d
+), f AS (
+  SELECT r, doc_id, size, source_size, target, h,
+    (CASE WHEN source_size > 0 THEN (words // source_size) * size + greatest(0, least(size, words % source_size - start)) ELSE 0 END)::BIGINT AS before
+  FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source
+), e AS (
+  SELECT *, before - lag(before) OVER (PARTITION BY r ORDER BY h) AS part FROM f
 )
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN source_size > 0 THEN (words // source_size) * size + greatest(0, least(size, words % source_size - start)) ELSE 0 END)::BIGINT AS taken
-FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source
+SELECT doc_id, size, source_size, target, max(before) AS taken, string_agg(part::VARCHAR, ',' ORDER BY h) FILTER (h > 0) AS shard_words
+FROM e GROUP BY r, doc_id, size, source_size, target
 """

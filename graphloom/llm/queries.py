@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm import ann, decontam, langid, licenses, mixing, secrets, sharding, simhash, substrings, tokenbin
 
@@ -44,7 +45,8 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.withColumn("shard_words", F.array_join(F.col("shard_words").cast("array<string>"), ","))
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,13 +36,18 @@ def test_mix_keeps_its_contract(spark):
     want = water_fill(sizes, (5, 2, 1), 1.5, 2.0)
     assert sorted((r.doc_id is None, r.doc_id, r.size) for r in got) == sorted((i is None, i, words(t)) for i, t, *_ in rows)
     where = {(i, words(t)): s for i, t, s, _ in rows}
-    taken = defaultdict(int)
+    taken, in_shard = defaultdict(int), defaultdict(int)
     for r in got:
         s = where[r.doc_id, r.size]
         assert r.source_size == sizes[s] and abs(r.target - want[s]) < 1e-6 and 0 <= r.taken <= 2 * r.size
         taken[s] += r.taken
+        assert sum(r.shard_words) == r.taken and min(r.shard_words) >= 0
+        for k, n in enumerate(r.shard_words):
+            in_shard[s, k] += n
     block = sum(want.values()) / 24000
     assert all(abs(taken[s] - want[s]) <= block + 1 for s in want)
+    # every shard has near to its part of each source's target
+    assert all(abs(in_shard[s, k] - want[s] / 24) <= 2 * block + 1 for s in want for k in range(24))
     assert sorted(map(str, got)) == sorted(map(str, M.mix(df).collect()))
 
 
@@ -59,6 +64,13 @@ def test_sainte_lague(spark):
     assert {(r.source, r.shard): r.quota for r in got} == dict(want)
 
 
+def test_highest_quotients_beyond_a_sources_share(spark):
+    # the small ones' first quotients are below the large one's last
+    rows = [("big", 23_600.0)] + [(f"s{i:04}", 0.4) for i in range(1000)]
+    got = M.quotas(spark.createDataFrame(rows, "source string, target double"), 24, 1000).groupBy("source").sum("quota").collect()
+    assert [tuple(r) for r in got] == [("big", 24_000)]
+
+
 def test_mixed_documents_repeats_whole_rows(spark):
     rows = [(i, "one two three four", "a" if i < 5 else "b", i) for i in range(40)] + [(99, None, "a", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
@@ -73,7 +85,7 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.mix(df).collect() == [] and M.mixed_documents(df).collect() == []
     zero = spark.createDataFrame([(1, None, None)], df.schema)
-    assert [tuple(r) for r in M.mix(zero).collect()] == [(1, 0, 0, 0.0, 0)]
+    assert [tuple(r) for r in M.mix(zero).collect()] == [(1, 0, 0, 0.0, 0, [0] * 24)]
 
 
 def test_small_source_beside_a_huge_one_reaches_its_target(spark):
