@@ -11,6 +11,7 @@ Values leave the scan only as hashes.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -60,10 +61,12 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 def loose_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Long tokens with letters and digits that overlap no base span."""
     out = []
+    starts, ends = sorted(b[1] for b in base), sorted(b[2] for b in base)
     for m in _LOOSE.finditer(text):
         value, start, end = m[0], m.start(), m.end()
         if any("0" <= c <= "9" for c in value) and any(c.isalpha() for c in value):
-            if all(end <= b[1] or b[2] <= start for b in base):
+            # every base span begins at the end or later, or ends at the start or before
+            if bisect.bisect_left(starts, end) == bisect.bisect_right(ends, start):
                 out.append((3, start, end, value))
     return out
 
@@ -71,9 +74,10 @@ def loose_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, rows = [0], []
-        for text in batch.column(3).to_pylist():
-            base = base_spans(text or "")
-            for kind, start, end, value in base + loose_spans(text or "", base):
+        for scalar in batch.column(3):
+            text = scalar.as_py() or ""
+            base = base_spans(text)
+            for kind, start, end, value in base + loose_spans(text, base):
                 digest = xxhash.xxh3_64_intdigest(value.encode())
                 rows.append((kind, start, end, digest - (1 << 64) * (digest >> 63), looks_random(value)))
             offsets.append(len(rows))

@@ -48,3 +48,42 @@ def test_spans_and_ownership(spark):
 
 def test_empty_table(spark):
     assert S.scan_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+def test_ownership_matches_a_plain_count(spark):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(4)
+    sign = "abcdefghkmnpqrstABCDEFGHKMNPQR23456789"
+    values = ["".join(rng.choice(sign) for _ in range(28)) + "7Q" for _ in range(12)]
+    rows = []
+    for i in range(120):
+        v = rng.choice(values[: rng.randrange(1, 13)])
+        text = rng.choice(["see {} now", "token={} and {}", "secret: '{}'", "none here"]).replace("{}", v)
+        rows.append((i, text, rng.choice(["s1", "s1", "s2", "s3", None])))
+    rows.append((5, rows[5][1], rows[5][2]))
+    repos, owners = defaultdict(set), defaultdict(set)
+    held = []
+    for i, t, s in rows:
+        base = S.base_spans(t)
+        held.append((base, S.loose_spans(t, base)))
+        for _, _, _, v in held[-1][0] + held[-1][1]:
+            owners[v].add(s or "")
+            repos[v].add((s or "", str(i)))
+    live = lambda v: S.looks_random(v) and len(owners[v]) == 1 and len(repos[v]) <= 5
+    want = []
+    for (i, *_), (base, loose) in zip(rows, held):
+        spans = sorted((a, k, b) for k, a, b, v in base + [x for x in loose if live(x[3])])
+        want.append((i, ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in spans), sum(len(owners[v]) >= 3 for *_, v in base), sum(live(v) for *_, v in base)))
+    got = S.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, r.spans, r.n_example, r.n_live) for r in got) == sorted(want)
+    assert any(w[2] for w in want) and any(w[3] for w in want) and any("owned" in w[1] for w in want)
+
+
+def test_loose_spans_touch_no_base_span():
+    base = [(0, 10, 20, "x"), (2, 12, 40, "y"), (1, 50, 60, "z")]
+    for start in range(0, 70):
+        for end in range(start + 20, 75):
+            text = " " * start + "a1" * ((end - start) // 2) + "a" * ((end - start) % 2) + " "
+            assert bool(S.loose_spans(text, base)) == all(end <= b[1] or b[2] <= start for b in base)
