@@ -68,8 +68,11 @@ class Model:
         x = letters(text)
         if not self.languages or not (x != 32).any():
             return "und", 0.0
-        v = np.log1p(counts(x)) * self.idf
-        logits = (v / np.linalg.norm(v)) @ self.weights + self.bias if v.any() else self.bias
+        many = counts(x)
+        at = np.flatnonzero(many)
+        v = np.log1p(many[at]) * self.idf[at]
+        norm = np.linalg.norm(v)
+        logits = (v / norm) @ self.weights[at] + self.bias if norm else self.bias
         p = softmax(logits / self.temperature)
         k = int(p.argmax())
         return self.languages[k], float(p[k])
