@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,15 +15,21 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
+#: Bytes of an Arrow batch between JVM and Python: texts differ so much in length that a number of rows bounds no memory.
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, one machine) gets a temporary one.
+    Only a session on one machine that names none (tests) gets a temporary one;
+    on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="graphloom-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
@@ -44,7 +51,12 @@ class Stored:
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, label)
-        df.write.parquet(self.path)
+        before = self.spark.conf.get(BATCH_KEY, None)
+        self.spark.conf.set(BATCH_KEY, BATCH)
+        try:
+            df.write.parquet(self.path)
+        finally:
+            self.spark.conf.unset(BATCH_KEY) if before is None else self.spark.conf.set(BATCH_KEY, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -5,9 +5,12 @@ index range that shares a bit prefix.  The self-join walks *pairs* of nodes down
 the trie together, adds one for each differing bit and drops a pair of subtrees
 as soon as the sum exceeds the budget.  Two refinements keep the results whole:
 
-* the top of the trie (bounded: at most 4096 nodes) is cut on the driver, the
-  node pairs within the budget become tasks, and each fingerprint goes to the
-  tasks of its node;
+* the walk is dealt out by the trie's upper part.  Of ``budget + 1`` blocks of
+  bits, fingerprints within the budget agree in one, so the trie is built once
+  for each block turned to the top, and every subtree below a block is walked
+  by itself.  A fingerprint goes to ``budget + 1`` subtrees at any size of the
+  table; a subtree of too many fingerprints is dealt out by the blocks of its
+  remaining bits in the same way;
 * inside a task a pair of subtrees is also dropped when all their fingerprints
   already are in one component, so a dense group of n near copies costs about n
   links, not n squared.  The links that remain are a spanning forest, which has
@@ -15,6 +18,11 @@ as soon as the sum exceeds the budget.  Two refinements keep the results whole:
 
 Equal fingerprints are joined before the trie, with a map-side combine, so
 copies never meet as pairs.
+
+Near-duplicate texts (``near_duplicate_groups``) start from the same self-join.
+Fingerprints of two texts at the border of the similarity may differ in any
+number of bits, so what the trie joins is verified on the shingle sets, and a
+prefix filter then lists every pair that it may have missed.
 """
 
 from __future__ import annotations
@@ -22,17 +30,16 @@ from __future__ import annotations
 from collections.abc import Collection, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Stored, components, sweep
 
 BITS = 64
-#: Top levels of the trie that every run deals out, and how far a large node is cut.
-BASE_DEPTH, MAX_DEPTH, NODE_ROWS = 4, 12, 500_000
+#: Fingerprints of a subtree that one task walks; a subtree of more is dealt out by the blocks of its remaining bits.
+SUBTREE = 2_000_000
 #: Node pairs that one vectorised step handles.
 CHUNK = 1 << 18
 
@@ -57,10 +64,11 @@ def fingerprint(text: bytes | None, width: int, seed: int = 42) -> int:
 
 def majority(shingles: Collection[bytes], seed: int) -> int:
     """Bits set in over half of the shingles' XXH64, as an unsigned integer; 0 without shingles."""
-    if not shingles:
-        return 0
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, seed) for s in shingles], dtype="<u8")
+    return majority_bits(np.fromiter((digest(s, seed) for s in shingles), dtype="<u8", count=len(shingles)))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
@@ -73,7 +81,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int, seed: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            fps = np.array([fingerprint(t.as_py(), width, seed) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"]
             )
@@ -82,7 +90,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int, seed: in
     return narrow.mapInArrow(run, "doc_id long, fp long")
 
 
-def trie_links(values: np.ndarray, roots: list[tuple[int, int, int, int, int, int]], budget: int) -> list[tuple[int, int]]:
+def trie_links(values: np.ndarray, roots: np.ndarray | list[tuple[int, int, int, int, int, int]], budget: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between sorted distinct ``values``.
 
     roots: pairs of trie nodes as (a_low, a_high, b_low, b_high, bits that
@@ -123,7 +131,8 @@ def trie_links(values: np.ndarray, roots: list[tuple[int, int, int, int, int, in
         ends = np.flatnonzero(np.append(parent[1:] != parent[:-1], True)) + 1
         run_end = ends[np.searchsorted(ends, np.arange(n), side="right")]
 
-    stack = [(d, np.array([r], dtype=np.int64).T) for *r, d in ((*r[:5], r[5]) for r in roots)]
+    every = np.array(roots, dtype=np.int64).reshape(-1, 6)
+    stack = [(int(d), every[every[:, 5] == d, :5].T) for d in np.unique(every[:, 5])]
     while stack:
         depth, pairs = stack.pop()
         if pairs.shape[1] > CHUNK:
@@ -165,71 +174,93 @@ def trie_links(values: np.ndarray, roots: list[tuple[int, int, int, int, int, in
     return found
 
 
-def cut(counts: dict[int, int]) -> list[tuple[int, int]]:
-    """Nodes (prefix, depth) that cover the trie; counts: rows by MAX_DEPTH-bit prefix."""
-    nodes, todo = [], [(0, 0)]
-    while todo:
-        prefix, depth = todo.pop()
-        shift = MAX_DEPTH - depth
-        rows = sum(counts.get(p, 0) for p in range(prefix << shift, (prefix + 1) << shift))
-        if rows and (depth >= MAX_DEPTH or depth >= BASE_DEPTH and rows <= NODE_ROWS):
-            nodes.append((prefix, depth))
-        elif rows:
-            todo += [(prefix * 2, depth + 1), (prefix * 2 + 1, depth + 1)]
-    return sorted(nodes, key=lambda x: x[0] << (MAX_DEPTH - x[1]))
-
-
-def node_pairs(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, int, int, int]]:
-    """(a, b, differing bits, common depth) for all node pairs within the budget."""
-    out = []
-    for i, (p, d) in enumerate(nodes):
-        for j in range(i, len(nodes)):
-            q, e = nodes[j]
-            common = min(d, e)
-            differ = ((p >> (d - common)) ^ (q >> (e - common))).bit_count()
-            if differ <= budget:
-                out.append((i, j, differ, common))
-    return out
+def turned(value: Column, depth: int, by: int) -> Column:
+    """The bits below ``depth`` turned left by ``by``; those above stay."""
+    if not by:
+        return value
+    low = BITS - depth
+    mask = (1 << low) - 1
+    signed = mask - (1 << 64) * (mask >> 63)
+    rest = value.bitwiseAND(F.lit(signed))
+    round_ = F.shiftleft(rest, by).bitwiseOR(F.shiftrightunsigned(rest, low - by)).bitwiseAND(F.lit(signed))
+    return value.bitwiseAND(F.lit(~signed)).bitwiseOR(round_)
 
 
-def links(fps: DataFrame, budget: int) -> DataFrame:
-    """``(a, b)``: a spanning forest of distinct values of ``fp`` within the budget."""
-    top = F.shiftrightunsigned("fp", BITS - MAX_DEPTH)
-    counts = {int(r[0]): r[1] for r in fps.groupBy(top.alias("p")).count().collect()}  # at most 4096 rows
-    nodes = cut(counts)
-    pairs = node_pairs(nodes, budget)
-    starts = np.array([p << (BITS - d) for p, d in nodes], dtype=np.uint64)
-    tasks_of: list[list[int]] = [[] for _ in nodes]
-    for t, (i, j, _, _) in enumerate(pairs):
-        tasks_of[i].append(t)
-        if i != j:
-            tasks_of[j].append(t)
-    packed = [np.array(x, dtype=np.int32) for x in tasks_of]
-
-    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            node = np.searchsorted(starts, pdf["fp"].to_numpy().view(np.uint64), side="right") - 1
-            to = [packed[k] for k in node]
-            if to:
-                yield pd.DataFrame({"task": np.concatenate(to), "fp": np.repeat(pdf["fp"].to_numpy(), list(map(len, to)))})
-
-    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j, differ, depth = pairs[int(key[0])]
-        values = np.unique(pdf["fp"].to_numpy().view(np.uint64))
-
-        def span(k: int) -> tuple[int, int]:
-            p, d = nodes[k]
-            low, last = p << (BITS - d), ((p + 1) << (BITS - d)) - 1
-            return (
-                int(np.searchsorted(values, np.uint64(low))),
-                int(np.searchsorted(values, np.uint64(last), side="right")),
-            )
+def subtrees(fps: DataFrame, budget: int) -> DataFrame:
+    """``(turns, depth, head, value, fp)``: fingerprints with their subtrees.
 
-        found = trie_links(values, [(*span(i), *span(j), differ, depth)], budget)
-        a, b = (np.array([x[k] for x in found], dtype=np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": values[a].view(np.int64), "b": values[b].view(np.int64)})
+    ``value`` is the fingerprint with its blocks turned to the top, ``turns``
+    says which, and ``head`` are its top ``depth`` bits, which name the subtree.
+    """
+    rows = fps.select(F.lit(0).alias("turns"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("head"), F.col("fp").alias("value"), "fp")
+    depth, done = 0, None
+    while True:
+        width = (BITS - depth) // (budget + 1)
+        blocks = [F.struct((F.col("turns") * (budget + 1) + k + 1).alias("turns"), turned(F.col("value"), depth, k * width).alias("value")) for k in range(budget + 1)]
+        depth += width
+        rows = rows.select("fp", F.explode(F.array(*blocks)).alias("x")).select(
+            "x.turns", F.lit(depth).alias("depth"), F.shiftrightunsigned("x.value", BITS - depth).alias("head"), "x.value", "fp"
+        )
+        if BITS - depth <= budget:
+            break
+        large = Stored(rows.groupBy("turns", "head").count().where(F.col("count") > SUBTREE).select("turns", "head"), "simhash-large")
+        if large.df.isEmpty():
+            large.drop()
+            break
+        # at most (budget + 1) * rows / SUBTREE of them
+        small = rows.join(large.df, ["turns", "head"], "left_anti").select(*rows.columns)
+        done = small if done is None else done.union(small)
+        rows = rows.join(large.df, ["turns", "head"], "left_semi").select(*rows.columns)
+    return rows if done is None else done.union(rows)
+
+
+def _walk(budget: int):
+    """Links of the subtrees in a partition sorted by turns, depth, head and value."""
+
+    def joined(t: pa.Table) -> pa.RecordBatch:
+        turns, head, value, fp = (t[c].to_numpy() for c in ("turns", "head", "value", "fp"))
+        depth = t["depth"].to_numpy()
+        value, a, b = value.view(np.uint64), [], []
+        part = np.flatnonzero(np.append(True, (turns[1:] != turns[:-1]) | (depth[1:] != depth[:-1])))
+        for low, high in zip(part, np.append(part[1:], len(turns))):
+            h = head[low:high]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            last = np.append(first[1:], len(h))
+            own = np.stack([first, last, first, last, np.zeros_like(first), np.full_like(first, depth[low])], axis=1)[last - first > 1]
+            if len(own):
+                found = np.array(trie_links(value[low:high], own, budget), dtype=np.int64).reshape(-1, 2)
+                a.append(fp[low:high][found[:, 0]])
+                b.append(fp[low:high][found[:, 1]])
+        none = np.empty(0, dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"])
 
-    return fps.mapInPandas(deal, "task int, fp long").groupBy("task").applyInPandas(join, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > CHUNK:
+                t = pa.Table.from_batches(held)
+                turns, head = t["turns"].to_numpy(), t["head"].to_numpy()
+                # the last subtree may go on in the next batch
+                open_ = np.flatnonzero((turns != turns[-1]) | (head != head[-1]))
+                whole = int(open_[-1]) + 1 if len(open_) else 0
+                if whole:
+                    yield joined(t.slice(0, whole))
+                held = t.slice(whole).combine_chunks().to_batches()
+                rows = t.num_rows - whole
+        if rows:
+            yield joined(pa.Table.from_batches(held))
+
+    return run
+
+
+def links(fps: DataFrame, budget: int) -> DataFrame:
+    """``(a, b)``: a spanning forest of the distinct values of ``fp`` within the budget; a link may come twice."""
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = subtrees(fps, budget).repartition(n, "turns", "head").sortWithinPartitions("turns", "depth", "head", "value")
+    return dealt.mapInArrow(_walk(budget), "a long, b long")
 
 
 def simhash_components(
@@ -260,9 +291,14 @@ def simhash_components(
 
 
 #: Texts that tell common shingles from rare ones, and how many common ones are kept.
-SAMPLE_TEXTS, COMMON = 20_000, 100_000
-#: Rounds of stars at most, and pairs for each listed row up to which all pairs are tried at once.
-STAR_ROUNDS, FEW_PAIRS = 8, 4
+SAMPLE_TEXTS, COMMON = 5_000, 100_000
+#: Rounds of stars at most, pairs for each listed row up to which all pairs are tried at once, and the part of a
+#: star's pairs that must be similar for another round: similar texts grow together by stars, others never do.
+STAR_ROUNDS, FEW_PAIRS, SIMILAR = 12, 0.5, 0.5
+#: Cells that a set's shingles are counted in, to bound how many two sets can share.
+CELLS = 256
+#: Rows of 8 bytes that are broadcast at most, as counted, and values that a task hands over at a time.
+FEW_ROWS, HANDED = 1_000_000, 500_000
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -277,33 +313,63 @@ def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(t, width) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))], names=["token"])
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), width).view(np.int64))], names=["token"])
 
     uniform = F.shiftrightunsigned(F.xxhash64("text_hash"), 11) / float(1 << 53)
     drawn = texts.where(uniform < SAMPLE_TEXTS / max(total, 1)).select("text")
-    most = drawn.mapInArrow(run, "token long").groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(COMMON).toPandas()
-    tokens, counts = most["token"].to_numpy(dtype=np.int64).view(np.uint64), most["count"].to_numpy(dtype=np.int64)
+    most = drawn.mapInArrow(run, "token long").groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
+    tokens, counts = most["token"].to_numpy().view(np.uint64), most["count"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], counts[order]
 
 
+def cells_of(has: np.ndarray) -> bytes | None:
+    """How many of a set's hashes fall in each cell, a byte each; None if one holds too many for that."""
+    many = np.bincount((has % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    return many.astype(np.uint8).tobytes() if many.max(initial=0) < 256 else None
+
+
+def _may_be_alike(similarity: float):
+    """Pairs (a, b) whose sets can reach the similarity: two sets share at most the lesser count of each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = (batch["n_a"].to_numpy() + batch["n_b"].to_numpy()).astype(np.float64)
+            left, right = batch["cells_a"], batch["cells_b"]
+            known = pa.compute.and_(left.is_valid(), right.is_valid()).to_numpy(zero_copy_only=False)
+            most = np.full(len(n), np.inf)
+            counts = [np.frombuffer(b"".join(x.filter(pa.array(known)).to_pylist()), dtype=np.uint8).reshape(-1, CELLS) for x in (left, right)]
+            most[known] = np.minimum(*counts).sum(1, dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(most >= similarity * (n - most) - 1e-6))
+
+    return run
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` for a broadcast if it has at most FEW_ROWS rows, as just counted."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 def near_duplicate_groups(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 3
 ) -> DataFrame:
     """``(doc_id, text_hash, group)``, one row for each distinct pair of id and text.
 
     Two texts belong together if the Jaccard coefficient of their sets of
     ``width``-word shingles is at least ``similarity``, and so do equal texts.
-    The search is exact (up to equal 64-bit hashes).  In an order that all sets
-    share, common shingles last, two similar sets have their first shared shingle
-    among the first ``n - ceil(similarity * n) + 1`` of each, and from there on
-    enough is left in both.  Sets that share such a shingle are listed under it.
-    Long lists are first tried as stars around a member, which is then done with;
-    members of one verified component need no test.  What the stars leave is
-    tried pair by pair, so at the end every listed pair of different components
-    was verified on the exact sets.  group is the smallest text hash reachable
-    over verified links.
+    First the trie self-join links texts whose SimHash fingerprints differ in at
+    most ``budget`` bits; its links are verified on the sets.  Texts that are
+    similar and differ in more bits are found by an exact search (up to equal
+    64-bit hashes): in an order that all sets share, common shingles last, two
+    similar sets have their first shared shingle among the first
+    ``n - ceil(similarity * n) + 1`` of each, and from there on enough is left in
+    both.  Sets that share such a shingle are listed under it; members of one
+    verified component need no test, so the groups that the trie found cost
+    nothing more.  Long lists are first tried as stars around a member, which is
+    then done with, and what the stars leave is tried pair by pair.  At the end
+    every listed pair of different components was verified on the exact sets.
+    group is the smallest text hash reachable over verified links.
     """
     spark = df.sparkSession
     narrow = df.select(
@@ -314,83 +380,121 @@ def near_duplicate_groups(
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value
         for batch in batches:
-            nodes, sizes, firsts = [], [], []
-            for text in batch.column(2).to_pylist():
-                has = shingle_set(text, width)
+            nodes, sizes, fps, firsts, cells = [], [], [], [], []
+            for text in batch.column(2):
+                has = shingle_set(text.as_py(), width)
                 nodes.append(xxhash.xxh3_64_intdigest(has.tobytes()))
                 sizes.append(len(has))
+                fps.append(majority_bits(has))
+                cells.append(cells_of(has))
                 seen = np.zeros(len(has), dtype=np.int64)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, has), len(tokens) - 1)
                     seen = np.where(tokens[at] == has, counts[at], 0)
                 need = int(np.ceil(similarity * len(has) - 1e-9))
                 firsts.append(has[np.lexsort((has, seen))][: len(has) - need + 1].view(np.int64))
-            packed = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *packed], names=["doc_id", "text_hash", "node", "n", "tokens"])
-
-    docs = Stored(narrow.mapInArrow(prefixes, "doc_id long, text_hash long, node long, n int, tokens array<long>"), "near").df
-    listed = docs.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
-    several = Stored(listed.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token"), "near-tokens").df
-    small = lambda t: F.broadcast(t) if t.count() <= 1_000_000 else t
-    live = Stored(listed.join(small(several), "token", "left_semi").distinct(), "near-lists").df
-    # one text for each set that is listed
-    wanted = docs.join(small(live.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("text_hash"))
-    sets = narrow.select("text_hash", "text").join(small(Stored(wanted, "near-wanted").df), "text_hash").select("node", "text")
+            longs = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, fps)]
+            packed = [longs[0], longs[1], pa.array(sizes, pa.int32()), pa.array(cells, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *packed], names=["doc_id", "text_hash", "node", "fp", "n", "cells", "tokens"])
+
+    docs = Stored(narrow.mapInArrow(prefixes, "doc_id long, text_hash long, node long, fp long, n int, cells binary, tokens array<long>"), "near")
+    listed = docs.df.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
+    # tokens that several rows hold; copies of one text go below, where each node counts once
+    several = Stored(listed.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "near-tokens")
+    live = Stored(listed.join(_small(several.df), "token", "left_semi").distinct(), "near-lists")
+    held = [docs, several, live]
+    sweep(spark)
+    # one text for each node
+    wanted = docs.df.join(_small(live.df.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_hash", "fp", "n", "cells")).alias("w"))
+    wanted = Stored(wanted.select("node", "w.*"), "near-wanted")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_set(text, width).tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "has"])
-
-    sets = Stored(sets.mapInArrow(hashed, "node long, has binary").dropDuplicates(["node"]), "near-sets").df
-
-    @F.pandas_udf("boolean")
-    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right):
-            a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            either = len(a) + len(b) - shared
-            out.append(either == 0 or shared / either >= similarity - 1e-12)
-        return pd.Series(out, dtype=bool)
-
-    left = sets.select(F.col("node").alias("a"), F.col("has").alias("has_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("has").alias("has_b"))
+            found, since, many = [], 0, 0
+            for i, text in enumerate(batch.column(1)):
+                found.append(shingle_set(text.as_py(), width).view(np.int64))
+                many += len(found[-1])
+                if many > HANDED or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(since, len(found)), pa.array(found, pa.list_(pa.int64()))], names=["node", "has"])
+                    found, since, many = [], i + 1, 0
+
+    both = F.size(F.array_intersect("has_a", "has_b"))
+    alike = both >= F.lit(similarity) * (F.size("has_a") + F.size("has_b") - both) - 1e-9
+
+    def verify(pairs: DataFrame, known: Stored | None = None) -> tuple[Stored, float]:
+        """Roots of the components once those of the pairs (a, b) that are similar join the known ones, and their part of the pairs.
+
+        Sets are made anew for the nodes of these pairs only, so no set is moved that no pair asks for.
+        """
+        end = lambda c: wanted.df.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"cells_{c}"))
+        tried = Stored(pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(_may_be_alike(similarity), "a long, b long"), "near-pairs")
+        asked = Stored(tried.df.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(wanted.df, "node").select("node", "text_hash"), "near-asked")
+        texts = narrow.select("text_hash", "text").join(_small(asked.df), "text_hash").select("node", "text")
+        sets = texts.mapInArrow(hashed, "node long, has array<long>").dropDuplicates(["node"])
+        left = sets.select(F.col("node").alias("a"), F.col("has").alias("has_a"))
+        right = sets.select(F.col("node").alias("b"), F.col("has").alias("has_b"))
+        found = Stored(tried.df.join(left, "a").join(right, "b").where(alike).select("a", "b"), "near-verified")
+        part = found.df.count() / max(tried.df.count(), 1)
+        tried.drop()
+        asked.drop()
+        sweep(spark)
+        out = Stored(components(found.df if known is None else found.df.union(known.df.where("node != root")), "a", "b"), "near-roots")
+        for table in [found, *([known] if known else [])]:
+            table.drop()
+        return out, part
+
+    # the trie's links between the smallest nodes of their fingerprints, and equal fingerprints
+    each = Stored(wanted.df.groupBy("fp").agg(F.min("node").alias("first")), "near-fp")
+    near = Stored(links(each.df.select("fp"), budget), "near-links")
+    end = lambda c: each.df.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    far = near.df.distinct().join(end("a"), "a").join(end("b"), "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    equal = wanted.df.join(each.df, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    roots, _ = verify(far.union(equal))
+    each.drop()
+    near.drop()
+    held.append(wanted)
+
     # sizes and places leave room for the shared shingles that the similarity needs
     enough = F.expr(f"least(n - pos, n_b - pos_b) >= {similarity / (1 + similarity)!r}D * (n + n_b) - 1e-6D")
-    verified = roots = before = None
+    part = 1.0
+    rest = live.df
+    old: list[Stored] = []  # what ``rest`` reads
     for turn in range(STAR_ROUNDS + 1):
-        placed = live.withColumn("root", F.col("node")) if roots is None else live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = rest.join(roots.df, "node", "left").withColumn("root", F.coalesce("root", "node"))
         lists = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
             F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"),
         ).where("lo != hi")
-        lists = Stored(lists, "near-open").df
-        rows, left_over = lists.agg(F.sum("c"), F.sum((F.col("c").cast("double") * F.col("c") - F.col("own")) / 2)).first()
+        lists = Stored(lists, "near-open")
+        rows, left_over = lists.df.agg(F.sum("c"), F.sum((F.col("c").cast("double") * F.col("c") - F.col("own")) / 2)).first()
         if not rows:
+            lists.drop()
             break
-        placed = Stored(placed.join(small(lists.select("token")), "token", "left_semi").select("token", "node", "n", "pos", "root"), "near-placed").df
-        last = turn == STAR_ROUNDS or left_over <= FEW_PAIRS * rows or before is not None and left_over > before / 2
-        before = left_over
+        placed = Stored(placed.join(_small(lists.df.select("token")), "token", "left_semi").select("token", "node", "n", "pos", "root"), "near-placed")
+        for table in [lists, *old]:
+            table.drop()
+        old = [placed]
+        last = turn == STAR_ROUNDS or left_over <= FEW_PAIRS * rows or part < SIMILAR
         if last:
-            other = placed.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
-            met = placed.join(other, "token").where("root < root_b")
+            other = placed.df.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
+            met = placed.df.join(other, "token").where("root < root_b")
         else:
             lot = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root")
-            pivot = placed.groupBy("token").agg(F.min(lot).alias("p")).select("token", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
-            pivot = Stored(pivot, "near-pivots").df
-            met = placed.join(pivot, "token").where("root != root_b")
-            live = placed.join(pivot, "token").where("node != node_b").select("token", "node", "n", "pos")
-        pairs = met.where(enough).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
-        found = Stored(pairs.join(left, "a").join(right, "b").where(alike("has_a", "has_b")).select("a", "b"), "near-verified").df
-        verified = found if verified is None else verified.union(found)
-        sweep(spark)
-        roots = Stored(components(verified, "a", "b"), "near-roots").df
+            pivot = placed.df.groupBy("token").agg(F.min(lot).alias("p")).select("token", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
+            pivot = Stored(pivot, "near-pivots")
+            old.append(pivot)
+            met = placed.df.join(pivot.df, "token").where("root != root_b")
+            rest = placed.df.join(pivot.df, "token").where("node != node_b").select("token", "node", "n", "pos")
+        roots, part = verify(met.where(enough).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), roots)
         if last:
             break
-    each = docs.select("doc_id", "text_hash", "node").distinct()
-    rooted = each.withColumn("root", F.col("node")) if roots is None else each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    each = docs.df.select("doc_id", "text_hash", "node").distinct()
+    rooted = each.join(roots.df, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("text_hash").alias("group"))
-    return rooted.join(least, "root").select("doc_id", "text_hash", "group")
+    out = Stored(rooted.join(least, "root").select("doc_id", "text_hash", "group"), "near-groups")
+    for table in [*held, *old, roots]:
+        table.drop()
+    sweep(spark)
+    return out.df
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

@@ -33,3 +33,14 @@ def test_stages_take_effect(spark, tmp_path):
     assert all(seen[3].count(i) == int(taken[i] + 0.5) for i in seen[2])
     assert sorted(seen[4]) == sorted(seen[3])
     assert sorted(r.doc_id for r in P.run(spark, str(tmp_path)).collect()) == sorted(seen[4])
+
+
+def test_pipeline_on_an_empty_table_and_on_nulls(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, "a benchmark question that is long enough")], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    assert P.run(spark, f"{tmp_path}/a").collect() == []
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    rows = [(None, None, None, None, None), (1, None, "en", None, 0), (2, "the thing with the other thing", "en", None, 1), (None, "eating with the thing", "en", "s", None)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert {r.doc_id for r in P.run(spark, f"{tmp_path}/b").collect()} == {None, 2}

@@ -167,3 +167,45 @@ def test_pairs_at_the_border_of_the_similarity(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.group for r in S.near_duplicate_groups(df).collect()}
     assert partition([found[i] for i in range(len(texts))]) == partition(want)
+
+
+def test_drop_near_duplicates_on_an_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, fp string, root long")
+    assert S.drop_near_duplicates(df).collect() == [] and S.drop_near_duplicates(df).columns == df.columns
+
+
+def test_links_of_large_subtrees(spark, monkeypatch):
+    # every subtree is too large at first, so all are dealt out by the blocks of their remaining bits
+    monkeypatch.setattr(S, "SUBTREE", 20)
+    rng = random.Random(21)
+    top = 0xABCD << 48
+    values = sorted({top | rng.getrandbits(48) for _ in range(60)})
+    values += [v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in values[::2]]
+    values = sorted(set(values))
+    signed = [v - (1 << 64) * (v >> 63) for v in values]
+    found = S.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 3).collect()
+    root = list(range(len(values)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    place = {v: i for i, v in enumerate(signed)}
+    for r in found:
+        assert ((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 3
+        a, b = find(place[r.a]), find(place[r.b])
+        root[max(a, b)] = min(a, b)
+    assert [find(i) for i in range(len(values))] == brute(values, 3)
+
+
+def test_cells_bound_what_two_sets_share():
+    rng = random.Random(5)
+    for _ in range(50):
+        words = [f"w{rng.randrange(200)}" for _ in range(rng.randrange(0, 300))]
+        other = [w if rng.random() < 0.9 else "x" for w in words]
+        a, b = (S.shingle_set(" ".join(w).encode(), 5) for w in (words, other))
+        both = len(np.intersect1d(a, b))
+        most = np.minimum(*(np.frombuffer(S.cells_of(x), dtype=np.uint8) for x in (a, b))).sum()
+        assert both <= most <= min(len(a), len(b))
+    assert S.cells_of(np.arange(0, 256 * 300, 256, dtype=np.uint64)) is None
