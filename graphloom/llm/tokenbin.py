@@ -31,24 +31,41 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import Stored, new_path, sweep
 
-#: Distinct pieces that a worker remembers; it starts afresh beyond them.
-REMEMBERED = 400_000
-#: Keys to a bucket of the perfect hash, on average.
-BUCKET = 4
-
-#: A piece starts where white space follows other characters; no token crosses that place.
-_PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
+#: Distinct pieces that a worker remembers (beyond them it forgets those unused for longest), and characters encoded together.
+REMEMBERED, TOGETHER = 1_000_000, 1_000_000
+#: Keys to a bucket of the perfect hash, on average, displacements tried at a time, and UTF-8 bytes of the texts of a shard.
+BUCKET, TRIED, SHARD_BYTES = 4, 128, 256 << 20
+
+#: A piece starts where white space follows other characters, or where one of the
+#: listed signs follows a run of Latin letters; no token crosses either place.
+_PIECE = re.compile(r"[ \n\r\t]*[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[ \n\r\t!-@\[-`{-~]|\Z)|[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 _OTHER_SPACE = re.compile(r"[^\S \n\r\t]")
 
 
+class _Numbers(dict):
+    """Numbers of pieces; a new one gets the next and is listed in ``new``."""
+
+    def __init__(self, pieces=()):
+        super().__init__(zip(pieces, range(len(pieces))))
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """Encodes whole texts with a byte-level BPE file of the tokenizers library.
 
     The library's splitting rule always separates at a change from a visible
-    character to white space, so equal pieces between such places have equal
-    ids and are encoded once.  A text with other white space than space, tab
-    and line ends is encoded in one call.  Strings of special tokens in a text
-    are ordinary text.
+    character to white space and from letters to other signs, so equal pieces
+    between such places have equal ids and are encoded once.  A text with other
+    white space than space, tab and line ends, or with the string of an added
+    token (which the library takes as that token), is encoded in one call.
+
+    Pieces have numbers; ``start`` and ``size`` say where the ids of each lie in
+    ``ids``, so the ids of many texts are gathered at once.
     """
 
     _kept: dict[str, Encoder] = {}
@@ -58,9 +75,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
+        self.numbers = _Numbers()
+        self.ids = np.empty(1 << 16, dtype=self.kind)
+        self.filled = 0
+        self.start, self.size, self.used = (np.zeros(1 << 16, dtype=np.int64) for _ in range(3))
+        self.turn = 0
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         #: Bytes of each id: a byte-level token has one character for each.
         self.bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -73,45 +94,79 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.kind).tobytes() for x in found]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype=self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _store(self, numbers: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Ids of several pieces, each up to its end."""
+        if self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.filled], np.empty(self.filled + len(ids), dtype=self.kind)])
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        first = np.append(0, ends[:-1])
+        self.start[numbers], self.size[numbers] = self.filled + first, ends - first
+        self.filled += len(ids)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self) -> None:
         """Encode new pieces, many in one text, and cut the ids where the pieces end.
 
         Only pieces that start with white space and end with a visible character
         are put together: no token crosses such places.
         """
-        inner = [p for p in pieces if p[0] in " \n\r\t" and p[-1] not in " \n\r\t"]
-        alone = [p for p in pieces if not (p[0] in " \n\r\t" and p[-1] not in " \n\r\t")]
+        pieces, self.numbers.new = self.numbers.new, []
+        base = len(self.numbers) - len(pieces)
+        if len(self.numbers) > len(self.start):
+            self.start, self.size, self.used = (np.append(x, np.zeros(len(self.numbers), dtype=np.int64)) for x in (self.start, self.size, self.used))
+        space = " \n\r\t"
+        inner = [i for i, p in enumerate(pieces) if p[0] in space and p[-1] not in space]
+        alone = [i for i, p in enumerate(pieces) if not (p[0] in space and p[-1] not in space)]
         groups = [inner[i : i + 256] for i in range(0, len(inner), 256)]
-        found = self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False)
-        for group, x in zip(groups, found):
-            ids = np.array(x.ids, dtype=self.kind)
+        for group, ids in zip(groups, self._whole(["".join([pieces[i] for i in g]) for g in groups])):
             ends = np.cumsum(self.bytes[ids])
-            wanted = np.cumsum([len(p.encode()) for p in group])
+            wanted = np.cumsum([len(pieces[i].encode()) for i in group])
             cut = np.searchsorted(ends, wanted) + 1
             if cut[-1] != len(ids) or (ends[cut - 1] != wanted).any():
                 alone += group
-                continue
-            raw, places = ids.tobytes(), [0, *(cut * self.kind.itemsize).tolist()]
-            self.known.update((p, raw[a:b]) for p, a, b in zip(group, places, places[1:]))
-        self.known.update(zip(alone, self._ids(alone)))
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _OTHER_SPACE.search(text):
-            return self._ids([text])[0]
-        pieces, known = _PIECE.findall(text), self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            self._learn(list({p for p in pieces if p not in known}))
-            return b"".join([known[p] for p in pieces])
+            else:
+                self._store([base + i for i in group], ids, cut)
+        for i, ids in zip(alone, self._whole([pieces[i] for i in alone])):
+            self._store([base + i], ids, np.array([len(ids)]))
+
+    def _forget(self) -> None:
+        """Keep the half of the pieces that were used last."""
+        n = len(self.numbers)
+        kept = np.sort(np.argsort(self.used[:n], kind="stable")[n // 2 :])
+        names = list(self.numbers)
+        size = self.size[kept]
+        ids = self.ids[_spread(self.start[kept], size)]
+        self.numbers = _Numbers([names[i] for i in kept.tolist()])
+        self.ids, self.filled = ids, len(ids)
+        self.start, self.size, self.used = np.cumsum(size) - size, size, self.used[kept]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; a null text has none."""
+        whole = [bool(t) and (_OTHER_SPACE.search(t) is not None or any(x in t for x in self.added)) for t in texts]
+        if len(self.numbers) > REMEMBERED:
+            self._forget()
+        number = self.numbers.__getitem__
+        found = []
+        for t, w in zip(texts, whole):
+            pieces = _PIECE.findall(t) if t and not w else []
+            found.append(np.fromiter(map(number, pieces), dtype=np.int64, count=len(pieces)))
+        self._learn()
+        every = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+        self.turn += 1
+        self.used[every] = self.turn
+        size = self.size[every]
+        raw = self.ids[_spread(self.start[every], size)].tobytes()
+        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum([len(f) for f in found]))] * self.kind.itemsize
+        out = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        return [self._whole([t])[0].tobytes() if w else x for t, w, x in zip(texts, whole, out)]
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
 
 def _mix(keys: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
@@ -145,12 +200,13 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(own) == 1:
             alone.append(own[0])
             continue
-        d = 0
-        while True:
-            at = _slots(keys[own], np.full(len(own), d), n)
-            if len(set(at.tolist())) == len(at) and not taken[at].any():
-                break
-            d += 1
+        d = tried = 0
+        while tried is not None:  # TRIED displacements at a time; the first that fits
+            at = (_mix(keys[own][None, :], np.arange(tried, tried + TRIED)[:, None] + 8) % np.uint64(n)).astype(np.int64)
+            near = np.sort(at, axis=1)
+            fits = np.flatnonzero(~taken[at].any(1) & (near[:, 1:] != near[:, :-1]).all(1))
+            d, tried = (tried + int(fits[0]), None) if len(fits) else (0, tried + TRIED)
+        at = _slots(keys[own], np.full(len(own), d), n)
         displace[bucket[own[0]]] = d
         slot[own] = at
         taken[at] = True
@@ -219,7 +275,8 @@ def write_shards(
     """Write ``df`` as shards under ``to`` in ascending id order: (stem, documents, ids) of each.
 
     Rows are range-partitioned by id (ties by the text's hash), one shard for
-    each partition.  A task writes files under a name of its own attempt and
+    each partition, and as many that one has SHARD_BYTES of text or less on
+    average, so a task holds the keys of so much text only.  A task writes files under a name of its own attempt and
     only the names of the attempts that Spark commits are returned, so lost and
     repeated tasks leave unread files at worst.
     """
@@ -234,10 +291,26 @@ def write_shards(
         fs, path = pafs.FileSystem.from_uri(stem)
         fs.create_dir(path.rpartition("/")[0], recursive=True)
         sink = None
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sink = sink or fs.open_output_stream(path + ".ids", buffer_size=1 << 22)
-                ids = encoder.encode(text) + end
+
+        def together() -> Iterator[tuple[list[int | None], list[str | None]]]:
+            own: list[int | None] = []
+            texts: list[str | None] = []
+            size = 0
+            for batch in batches:
+                for key, text in zip(*batch.columns[:2]):
+                    own.append(key.as_py())
+                    texts.append(text.as_py())
+                    size += len(texts[-1] or "")
+                    if size > TOGETHER:
+                        yield own, texts
+                        own, texts, size = [], [], 0
+            if own:
+                yield own, texts
+
+        for own, texts in together():
+            sink = sink or fs.open_output_stream(path + ".ids", buffer_size=1 << 22)
+            for key, found in zip(own, encoder.encode(texts)):
+                ids = found + end
                 sink.write(ids)
                 keys.append(key)
                 offsets.append(offsets[-1] + len(ids) // encoder.kind.itemsize)
@@ -252,7 +325,8 @@ def write_shards(
 
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     ranged = narrow.repartitionByRange(n, *order).sortWithinPartitions(*order)
     listed = Stored(ranged.mapInArrow(run, "shard long, stem string, docs long, ids long"), "shards")
     rows = sorted(listed.df.collect())  # one row for each shard
