@@ -13,7 +13,7 @@ def test_stages_take_effect(spark, tmp_path):
         words = [rng.choice(vocab[lang]) + rng.choice(["", "en", "er", "is", "on"]) for _ in range(rng.randrange(20, 90))]
         rows.append((i, " ".join(words), lang, f"s{i % 3}", 0))
     item = "a benchmark question that nobody should ever see in any corpus at all"
-    rows += [(300, "12345 %%% 678", "en", "s0", 0), (301, rows[5][1], "en", "s1", 0), (302, rows[6][1] + "\n" + item, "en", "s1", 0)]
+    rows += [(300, "12345 %%% 678", "en", "s0", 0), (301, rows[5][1], "en", "s1", 0), (302, " ".join(rows[6][1].split()[:20]) + "\n" + item, "en", "s1", 0)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame(rows, schema)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
