@@ -144,10 +144,11 @@ def reach(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def reachable_pairs(edges: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
-    """``(source, sink)`` pairs joined by a path, or equal."""
-    hops = reach(edges, sources).select("source", F.col("node").alias("sink")).join(sinks.select(F.col("id").alias("sink")), "sink").select("source", "sink")
-    same = sources.select(F.col("id").alias("source")).join(sinks.select(F.col("id").alias("source")), "source").select("source", F.col("source").alias("sink"))
-    return hops.union(same).distinct()
+    """``(source, sink)`` pairs joined by a path, or equal; like those of ``reach`` they are made as they are read."""
+    hops, cyclic = _reached(edges, sources, sinks)
+    # a node on a cycle reaches itself, so no pair comes twice and none needs comparing
+    same = sources.select("id").distinct().join(sinks.select("id").distinct(), "id").join(cyclic, "id", "left_anti")
+    return hops.select("source", F.col("node").alias("sink")).union(same.select("id", "id"))
 
 
 def pruned(edges: DataFrame, starts: DataFrame, stops: DataFrame) -> DataFrame:
