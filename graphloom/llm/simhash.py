@@ -32,7 +32,7 @@ from collections.abc import Collection, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Stored, components, sweep
@@ -295,6 +295,8 @@ SAMPLE_TEXTS, COMMON = 5_000, 100_000
 #: Rounds of stars at most, pairs for each listed row up to which all pairs are tried at once, and the part of a
 #: star's pairs that must be similar for another round: similar texts grow together by stars, others never do.
 STAR_ROUNDS, FEW_PAIRS, SIMILAR = 12, 0.5, 0.5
+#: What the stars leave is tried in waves: the pairs of these parts of the nodes, the smallest first.
+WAVES = (1 / 32, 1 / 8, 1.0)
 #: Cells that a set's shingles are counted in, to bound how many two sets can share.
 CELLS = 256
 #: Rows of 8 bytes that are broadcast at most, as counted, and values that a task hands over at a time.
@@ -367,7 +369,7 @@ def near_duplicate_groups(
     both.  Sets that share such a shingle are listed under it; members of one
     verified component need no test, so the groups that the trie found cost
     nothing more.  Long lists are first tried as stars around a member, which is
-    then done with, and what the stars leave is tried pair by pair.  At the end
+    then done with, and what the stars leave is tried pair by pair, in waves.  At the end
     every listed pair of different components was verified on the exact sets.
     group is the smallest text hash reachable over verified links.
     """
@@ -379,6 +381,7 @@ def near_duplicate_groups(
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = shared.value
+        listed_here: set[int] = set()
         for batch in batches:
             nodes, sizes, fps, firsts, cells = [], [], [], [], []
             for text in batch.column(2):
@@ -387,6 +390,10 @@ def near_duplicate_groups(
                 sizes.append(len(has))
                 fps.append(majority_bits(has))
                 cells.append(cells_of(has))
+                if nodes[-1] in listed_here:  # copies of a text list it once for each task
+                    firsts.append(np.empty(0, dtype=np.int64))
+                    continue
+                listed_here.add(nodes[-1])
                 seen = np.zeros(len(has), dtype=np.int64)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, has), len(tokens) - 1)
@@ -399,10 +406,13 @@ def near_duplicate_groups(
 
     docs = Stored(narrow.mapInArrow(prefixes, "doc_id long, text_hash long, node long, fp long, n int, cells binary, tokens array<long>"), "near")
     listed = docs.df.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
-    # tokens that several rows hold; copies of one text go below, where each node counts once
-    several = Stored(listed.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "near-tokens")
-    live = Stored(listed.join(_small(several.df), "token", "left_semi").distinct(), "near-lists")
-    held = [docs, several, live]
+    # one shuffle: counting the tokens first would move every row twice once the counts are too many for a broadcast
+    dealt = listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
+    once = dealt.groupBy("token", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    same = Window.partitionBy("token")
+    lone = once.select("token", "node", "n", "pos", F.min("node").over(same).alias("lo"), F.max("node").over(same).alias("hi"))
+    live = Stored(lone.where("lo != hi").select("token", "node", "n", "pos"), "near-lists")
+    held = [docs, live]
     sweep(spark)
     # one text for each node
     wanted = docs.df.join(_small(live.df.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_hash", "fp", "n", "cells")).alias("w"))
@@ -475,18 +485,22 @@ def near_duplicate_groups(
         old = [placed]
         last = turn == STAR_ROUNDS or left_over <= FEW_PAIRS * rows or part < SIMILAR
         if last:
-            other = placed.df.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
-            met = placed.df.join(other, "token").where("root < root_b")
-        else:
-            lot = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root")
-            pivot = placed.df.groupBy("token").agg(F.min(lot).alias("p")).select("token", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
-            pivot = Stored(pivot, "near-pivots")
-            old.append(pivot)
-            met = placed.df.join(pivot.df, "token").where("root != root_b")
-            rest = placed.df.join(pivot.df, "token").where("node != node_b").select("token", "node", "n", "pos")
-        roots, part = verify(met.where(enough).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), roots)
-        if last:
+            # each pair once, in the wave of whichever end comes first; what a wave joins needs no test in the next
+            drawn = placed.df.drop("root").withColumn("lot", F.shiftrightunsigned(F.xxhash64("node"), 11) / float(1 << 53))
+            waves = WAVES if left_over > FEW_PAIRS * rows else WAVES[-1:]
+            for low, high in zip((0.0, *waves), waves):
+                open_ = drawn.where(F.col("lot") >= low).join(roots.df, "node", "left").withColumn("root", F.coalesce("root", "node"))
+                centre = open_.where(F.col("lot") < high).select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
+                met = open_.join(centre, "token").where("root != root_b").where((F.col("lot") >= high) | (F.col("node") < F.col("node_b")))
+                roots, part = verify(met.where(enough).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), roots)
             break
+        lot = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "pos", "root")
+        pivot = placed.df.groupBy("token").agg(F.min(lot).alias("p")).select("token", *[F.col(f"p.{c}").alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
+        pivot = Stored(pivot, "near-pivots")
+        old.append(pivot)
+        met = placed.df.join(pivot.df, "token").where("root != root_b")
+        rest = placed.df.join(pivot.df, "token").where("node != node_b").select("token", "node", "n", "pos")
+        roots, part = verify(met.where(enough).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), roots)
     each = docs.df.select("doc_id", "text_hash", "node").distinct()
     rooted = each.join(roots.df, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("text_hash").alias("group"))

@@ -209,3 +209,29 @@ def test_cells_bound_what_two_sets_share():
         most = np.minimum(*(np.frombuffer(S.cells_of(x), dtype=np.uint8) for x in (a, b))).sum()
         assert both <= most <= min(len(a), len(b))
     assert S.cells_of(np.arange(0, 256 * 300, 256, dtype=np.uint64)) is None
+
+
+def test_pairs_left_by_the_stars_are_tried_in_waves(spark, monkeypatch):
+    # near copies whose fingerprints differ too much for the trie: the first wave joins them, so few of their pairs are tried
+    monkeypatch.setattr(S, "STAR_ROUNDS", 0)
+    rng = random.Random(41)
+    base = [f"b{rng.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for i in range(80):
+        at = rng.randrange(290)
+        texts.append(" ".join(base[:at] + [f"e{i}x{k}" for k in range(6)] + base[at + 6 :]))
+    texts += texts[:5]
+    want, similar = groups_by_brute_force(texts)
+    assert similar > 2500
+    tried, stored = [], S.Stored
+
+    def counted(df, label):
+        out = stored(df, label)
+        if label == "near-pairs":
+            tried.append(out.df.count())
+        return out
+
+    monkeypatch.setattr(S, "Stored", counted)
+    found = {r.doc_id: r.group for r in S.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert partition([found[i] for i in range(len(texts))]) == partition(want)
+    assert sum(tried) < 1200
