@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,7 +85,11 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(languages: list[str], idf: np.ndarray, rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 42) -> Model:
-    """rows: (language, features, log counts), in an order that does not depend on the run."""
+    """rows: (language, features, log counts), in an order that does not depend on the run.
+
+    A row's weighted features are made each time it is visited: held for all rows
+    at once they would take several times the rows' own bytes of the driver.
+    """
     rng = np.random.default_rng(seed)
     k = len(languages)
     z, n = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))
@@ -93,17 +98,17 @@ def fit(languages: list[str], idf: np.ndarray, rows: list[tuple[int, np.ndarray,
         free = z[at] - np.sign(z[at]) * L1
         return np.where(np.abs(z[at]) <= L1, 0.0, -free / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
-    data = []
-    for y, at, tf in rows:
-        x = tf * idf[at]
-        norm = np.linalg.norm(x)
-        if norm > 0:
-            data.append((y, np.append(at, FEATURES), np.append(x / norm, 1.0)))  # the last is the bias
+    def visit(row: tuple[int, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+        y, at, tf = row
+        x = tf.astype(np.float64) * idf[at]
+        return y, np.append(at, FEATURES), np.append(x / np.linalg.norm(x), 1.0)  # the last is the bias
+
+    data = [r for r in rows if np.linalg.norm(r[2].astype(np.float64) * idf[r[1]]) > 0]
     order = rng.permutation(len(data))
     apart, learn = order[: len(data) // 5], order[len(data) // 5 :]
     for _ in range(EPOCHS):
         for i in rng.permutation(learn):
-            y, at, x = data[i]
+            y, at, x = visit(data[i])
             w = weights(at)
             p = softmax(x @ w)
             p[y] -= 1
@@ -114,7 +119,7 @@ def fit(languages: list[str], idf: np.ndarray, rows: list[tuple[int, np.ndarray,
     final = weights(np.arange(FEATURES + 1))
     temperature = 1.0
     if len(apart):
-        logits = np.array([data[i][2] @ final[data[i][1]] for i in apart])
+        logits = np.array([x @ final[at] for _, at, x in (visit(data[i]) for i in apart)])
         y = np.array([data[i][0] for i in apart])
         loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean()
         temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
@@ -143,7 +148,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), batch.column(1),
-                pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())),
+                pa.array([a.astype(np.int16) for a in at], pa.list_(pa.int16())),
                 pa.array([np.log1p(c[a]).astype(np.float32) for c, a in zip(found, at)], pa.list_(pa.float32())),
             ],
             names=["mark", "lang", "at", "tf"],
@@ -160,16 +165,22 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not languages:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES, 0)), np.zeros(0), 1.0)
     freq = own.select("text").mapInArrow(_document_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    df_of = {r[0]: r[1] for r in freq.collect()}  # one row for each feature
-    idf = np.array([np.log((1 + df_of[-1]) / (1 + df_of.get(j, 0))) + 1e-3 for j in range(FEATURES)])
+    found = freq.toArrow()  # one row for each feature
+    df_of = np.zeros(FEATURES + 1, dtype=np.int64)
+    df_of[found["feature"].to_numpy()] = found["n"].to_numpy()  # the number of texts, feature -1, comes last
+    idf = np.array([np.log((1 + df_of[-1]) / (1 + n)) + 1e-3 for n in df_of[:-1]])
     # each language gives at most about SAMPLE / languages documents, drawn by their own hash
     share = SAMPLE / len(languages)
     chance = F.coalesce(*[F.when(F.col("lang") == n, F.lit(min(1.0, share / c))) for n, c in by_lang.items()])
     drawn = own.where(F.shiftrightunsigned("mark", 11) / float(1 << 53) < chance)
-    rows = drawn.mapInArrow(_sparse, "mark long, lang string, at array<int>, tf array<float>").toPandas()
-    rows = rows.sort_values(["mark", "lang"], kind="stable")
+    rows = drawn.mapInArrow(_sparse, "mark long, lang string, at array<short>, tf array<float>").toArrow()
     place = {n: i for i, n in enumerate(languages)}
-    data = [(place[n], np.asarray(a, dtype=np.int64), np.asarray(t, dtype=np.float64)) for n, a, t in zip(rows["lang"], rows["at"], rows["tf"])]
+    language = np.array([place[n] for n in rows["lang"].to_pylist()], dtype=np.int64)
+    ends = np.cumsum(pc.list_value_length(rows["at"]).to_numpy())
+    ats, tfs = (pc.list_flatten(rows[c]).to_numpy() for c in ("at", "tf"))
+    order = np.lexsort((language, rows["mark"].to_numpy()))
+    del rows
+    data = [(int(language[i]), ats[low:high], tfs[low:high]) for i, low, high in ((i, ends[i - 1] if i else 0, ends[i]) for i in order)]
     return fit(languages, idf, data)
 
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -115,3 +116,30 @@ def test_fit_matches_plain_updates():
 def test_identified_on_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string, score string")
     assert L.identified(df, 0.3).collect() == [] and L.identified(df, 0.3).columns == df.columns
+
+
+def test_fit_holds_little_besides_its_rows():
+    # the driver's memory is scarce: weighted copies of all rows would be 16 bytes a feature
+    rng = np.random.default_rng(4)
+    idf = rng.uniform(0.5, 2, L.FEATURES)
+    own = [(i % 2, np.sort(rng.choice(L.FEATURES, 2000, replace=False)).astype(np.int16), rng.uniform(0.5, 2, 2000).astype(np.float32)) for i in range(600)]
+    tracemalloc.start()
+    try:
+        L.fit(["a", "b"], idf, own)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < sum(at.nbytes + tf.nbytes for _, at, tf in own)
+
+
+def test_train_holds_little_on_the_driver(spark):
+    rng = random.Random(8)
+    data = [(i, "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(500)), "ab"[i % 2]) for i in range(1000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    try:
+        model = L.train(df)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.languages == ["a", "b"] and peak < 12_000_000
